@@ -28,16 +28,17 @@ STANDARD_TOKEN = "STANDARD"
 PROFILES = ("replace", "delete")
 
 
-def _whole(pattern: str) -> str:
-    return f"{EDGE_BEFORE}(?:{pattern}){EDGE_AFTER}"
+def _whole(pattern: str, first: str) -> str:
+    """Between word edges; ``first`` is a cheap test of the first character."""
+    return f"(?=[{first}]){EDGE_BEFORE}(?:{pattern}){EDGE_AFTER}"
 
 
 def clean_replace(text: Column) -> Column:
     """Drop page marks, put tokens for part numbers and standards, keep letters, lower-case."""
     out = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(out, F.lit("(?iu)" + _whole(PAGE_OR_SECTION)), F.lit(""))
-    out = F.regexp_replace(out, F.lit(_whole(PART_NUMBER)), F.lit(PART_TOKEN))
-    out = F.regexp_replace(out, F.lit(_whole(STANDARD)), F.lit(STANDARD_TOKEN))
+    out = F.regexp_replace(out, F.lit("(?iu)" + _whole(PAGE_OR_SECTION, "ps")), F.lit(""))
+    out = F.regexp_replace(out, F.lit(_whole(PART_NUMBER, DIGIT)), F.lit(PART_TOKEN))
+    out = F.regexp_replace(out, F.lit(_whole(STANDARD, "ID")), F.lit(STANDARD_TOKEN))
     return F.lower(F.regexp_replace(out, F.lit(NOT_LETTER_OR_SPACE), F.lit("")))
 
 
@@ -45,7 +46,7 @@ def clean_delete(text: Column) -> Column:
     """Delete page marks, part numbers and standards alike, keep letters, lower-case."""
     marks = f"{PAGE_OR_SECTION}|{PART_NUMBER}|{STANDARD}"
     out = F.coalesce(text, F.lit(""))
-    out = F.regexp_replace(out, F.lit("(?iu)" + _whole(marks)), F.lit(""))
+    out = F.regexp_replace(out, F.lit("(?iu)" + _whole(marks, f"psid{DIGIT}")), F.lit(""))
     return F.lower(F.regexp_replace(out, F.lit(NOT_LETTER_OR_SPACE), F.lit("")))
 
 

@@ -6,7 +6,13 @@ from foliomill.plans.registry import ORACLES, QUERIES, Query
 
 
 def _load() -> None:
-    from foliomill.plans import queries_eval, queries_files, queries_text, queries_vectors  # noqa: F401
+    from foliomill.plans import (  # noqa: F401
+        queries_eval,
+        queries_files,
+        queries_model,
+        queries_text,
+        queries_vectors,
+    )
 
 
 def all_queries() -> dict[str, Query]:

@@ -12,6 +12,7 @@ from foliomill.operators import compare as cp
 from foliomill.plans import tables as tb
 from foliomill.plans.registry import query
 from foliomill.plans.update import new_rows
+from foliomill.session import spread
 from foliomill.sources import extract as ex
 from foliomill.sources import files as fl
 from foliomill.sources import sinks
@@ -127,7 +128,7 @@ def _extracted(spark, sf_dir):
     """Event properties as file contents; those of error events lost their last character."""
     props = F.col("props")
     cut = F.when(F.col("event_type") == "error", F.substr(props, F.lit(1), F.length(props) - 1)).otherwise(props)
-    files = tb.table(spark, sf_dir, "events").select(
+    files = spread(tb.table(spark, sf_dir, "events"), "event_id").select(
         "event_id", F.concat(F.lit("event/"), F.col("event_id").cast("string")).alias("path"), F.encode(cut, "UTF-8").alias("content")
     )
     return ex.extract_documents(files, _json_value, min_chars=0)

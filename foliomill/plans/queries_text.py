@@ -21,7 +21,7 @@ def _clean_sql(expression: str) -> str:
 
 
 def _clean(spark, sf_dir, function):
-    cleaned = tb.table(spark, sf_dir, "documents").select("doc_id", function(F.col("text")).alias("c"))
+    cleaned = tb.documents(spark, sf_dir).select("doc_id", function(F.col("text")).alias("c"))
     return cleaned.select("doc_id", F.md5("c").alias("text_md5"), F.length("c").cast("bigint").alias("n_chars"))
 
 
@@ -218,7 +218,7 @@ def assemble_document_text(spark, sf_dir):
 )
 def text_cache_lookup(spark, sf_dir):
     """Labelled documents fill the cache; the others are looked up."""
-    docs = tb.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tb.documents(spark, sf_dir)
     labelled = tb.table(spark, sf_dir, "labels").select("doc_id")
     cache = (
         docs.join(labelled, "doc_id", "left_semi")

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from foliomill.functions.numeric import hash_int
 from foliomill.functions.stopwords import ENGLISH
 from foliomill.functions.text import clean_replace, joined, tokens
+from foliomill.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 # --- text -----------------------------------------------------------------
 
 CLEAN_REPLACE_SQL = r"""
@@ -58,7 +63,7 @@ vocab AS (
 
 def tokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their cleaned tokens."""
-    return table(spark, sf_dir, "documents").select("doc_id", tokens(clean_replace(F.col("text"))).alias("toks"))
+    return documents(spark, sf_dir).select("doc_id", tokens(clean_replace(F.col("text"))).alias("toks"))
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

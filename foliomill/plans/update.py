@@ -1,13 +1,61 @@
-"""Incremental update."""
+"""Incremental update: process what is new, retrain if anything was."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 
 from foliomill.operators.compare import new_files
+from foliomill.plans.model import DocumentModel, ModelSettings
+from foliomill.plans.process import ROW_COLUMNS, process
+from foliomill.plans.train import Evaluation, train
+from foliomill.sources.store import ProcessedStore
 
 
 def new_rows(stored: DataFrame, candidates: DataFrame, dedupe: bool = False) -> DataFrame:
     """Candidates not processed yet, under normalised paths; their own repeats stay unless ``dedupe``."""
     fresh = new_files(candidates, stored)
     return fresh.dropDuplicates(["path"]) if dedupe else fresh
+
+
+def model_path(base: str, version: int) -> str:
+    return f"{base}_v{version}"
+
+
+def previous_model(base: str, version: int) -> DocumentModel:
+    """The model of the version before; the first version looks at itself."""
+    return DocumentModel.load(model_path(base, max(version - 1, 1)))
+
+
+@dataclass(frozen=True)
+class Updated:
+    version: int
+    rows: DataFrame
+    evaluation: Evaluation | None
+
+
+def update(
+    listed: DataFrame,
+    files: DataFrame,
+    store: ProcessedStore,
+    model_base: str,
+    settings: ModelSettings = ModelSettings(),
+    lemmas: DataFrame | None = None,
+    dedupe: bool = False,
+    **how,
+) -> Updated:
+    """Process the listed files the store has not seen, append them, retrain and save the next version.
+
+    Nothing new means no new version and no retraining.
+    """
+    stored = store.latest()
+    fresh = new_rows(stored, listed, dedupe)
+    version = store.next_version()
+    if fresh.isEmpty():
+        return Updated(version - 1, stored.select(*ROW_COLUMNS), None)
+    store.write(process(fresh, files, store, settings, lemmas, **how), version)
+    rows = store.latest().select(*ROW_COLUMNS)
+    evaluation = train(rows, settings, lemmas)
+    evaluation.model.save(model_path(model_base, version))
+    return Updated(version, rows, evaluation)

@@ -63,6 +63,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the session has cores.
+
+    Costly expressions on one small file would otherwise run on one core. A
+    large scan has splits enough and is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

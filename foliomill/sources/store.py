@@ -59,10 +59,23 @@ class ProcessedStore:
                 f"{self.root}/commits"
             )
 
-    def text_cache(self) -> DataFrame:
-        return self._read("text_cache", CACHE_SCHEMA).groupBy("text_md5").agg(
-            F.first("processed_text").alias("processed_text")
+    def latest(self) -> DataFrame:
+        """For every path, its rows of the newest version that has it."""
+        rows = self.read()
+        newest = rows.groupBy("path").agg(F.max("version").alias("version"))
+        return rows.join(newest, ["path", "version"])
+
+    def text_cache(self, processing: str) -> DataFrame:
+        """Cleaned texts by digest, for one way of processing."""
+        return (
+            self._read("text_cache", CACHE_SCHEMA + ", processing string")
+            .filter(F.col("processing") == processing)
+            .groupBy("text_md5")
+            .agg(F.first("processed_text").alias("processed_text"))
         )
 
-    def add_to_text_cache(self, entries: DataFrame) -> None:
-        entries.select("text_md5", "processed_text").write.mode("append").parquet(f"{self.root}/text_cache")
+    def add_to_text_cache(self, entries: DataFrame, processing: str) -> None:
+        """Entries appended twice do no harm: readers take one per digest."""
+        entries.select("text_md5", "processed_text").write.mode("append").parquet(
+            f"{self.root}/text_cache/processing={processing}"
+        )
