@@ -29,9 +29,13 @@ def listed_files(listed: DataFrame, files: DataFrame) -> DataFrame:
     return found.unionByName(absent, allowMissingColumns=True)
 
 
-def process(
-    listed: DataFrame,
-    files: DataFrame,
+def process(listed: DataFrame, files: DataFrame, store: ProcessedStore, settings: ModelSettings, **how) -> DataFrame:
+    """Processed rows of the listed (path, doc_type)."""
+    return process_contents(listed_files(listed, files), store, settings, **how)
+
+
+def process_contents(
+    contents: DataFrame,
     store: ProcessedStore,
     settings: ModelSettings,
     lemmas: DataFrame | None = None,
@@ -39,8 +43,8 @@ def process(
     min_chars: int = SPARSE_PAGE_CHARS,
     error_log: str | None = None,
 ) -> DataFrame:
-    """Extract and clean (path, doc_type) rows; texts cleaned before come from the text cache."""
-    extracted = written(extract_documents(listed_files(listed, files), extractor, min_chars), "extracted")
+    """Extract and clean (path, doc_type, signature, content); texts cleaned before come from the text cache."""
+    extracted = written(extract_documents(contents, extractor, min_chars), "extracted")
     if error_log:
         append_error_log(failures(extracted), error_log)
 

@@ -54,7 +54,7 @@ def update(
     version = store.next_version()
     if fresh.isEmpty():
         return Updated(version - 1, stored.select(*ROW_COLUMNS), None)
-    store.write(process(fresh, files, store, settings, lemmas, **how), version)
+    store.write(process(fresh, files, store, settings, lemmas=lemmas, **how), version)
     rows = store.latest().select(*ROW_COLUMNS)
     evaluation = train(rows, settings, lemmas)
     evaluation.model.save(model_path(model_base, version))
