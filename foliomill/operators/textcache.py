@@ -14,7 +14,9 @@ def resolve_texts(docs: DataFrame, cache: DataFrame, text: str, process: Callabl
     """(text_md5, processed_text, hit) for every distinct text of ``docs``.
 
     Copies collapse map-side, so a text that fills a third of the rows is one
-    row here; only misses evaluate ``process``.
+    row here; only misses evaluate ``process``. The cache is first cut to the
+    wanted digests: for a small batch that is a broadcast, and a large cache is
+    not shuffled. A digest stored twice counts once.
     """
     wanted = (
         docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -22,7 +24,11 @@ def resolve_texts(docs: DataFrame, cache: DataFrame, text: str, process: Callabl
         .groupBy("text_md5")
         .agg(F.first("_text").alias("_text"))
     )
-    stored = cache.select("text_md5", F.col("processed_text").alias("_stored"))
+    stored = (
+        cache.join(wanted.select("text_md5"), "text_md5", "left_semi")
+        .groupBy("text_md5")
+        .agg(F.first("processed_text").alias("_stored"))
+    )
     hit = F.col("_stored").isNotNull()
     return wanted.join(stored, "text_md5", "left").select(
         "text_md5",

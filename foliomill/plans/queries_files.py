@@ -38,7 +38,7 @@ def scan_target_files(spark, sf_dir):
     return fl.target_files(tb.table(spark, sf_dir, "pages").select("page_id", "url"), TARGET, "url")
 
 
-@query(f"SELECT url AS other_file FROM pages WHERE NOT ends_with(lower(url), '{TARGET}')")
+@query(f"SELECT url AS non_top_files FROM pages WHERE NOT ends_with(lower(url), '{TARGET}')")
 def non_target_files(spark, sf_dir):
     return fl.other_files(tb.table(spark, sf_dir, "pages").select("url"), TARGET, "url")
 

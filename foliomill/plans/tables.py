@@ -130,7 +130,7 @@ def document_path(prefix: str = ARCHIVE + "/", glue: str = "/"):
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"), "doc_id")
         .join(labels, "doc_id")
         .select(document_path().alias("path"), "doc_id", "lang", "source", "text", "quality")
     )
@@ -141,7 +141,7 @@ def current_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     collapsed = F.trim(F.regexp_replace("text", "[ \\t\\r\\n]+", " "))
     return (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"), "doc_id")
         .join(labels, "doc_id", "left")
         .filter(F.coalesce("toxic", F.lit(0)) == 0)
         .select(

@@ -49,11 +49,10 @@ def update(
 
     Nothing new means no new version and no retraining.
     """
-    stored = store.latest()
-    fresh = new_rows(stored, listed, dedupe)
+    fresh = new_rows(store.read(), listed, dedupe)
     version = store.next_version()
     if fresh.isEmpty():
-        return Updated(version - 1, stored.select(*ROW_COLUMNS), None)
+        return Updated(version - 1, store.latest().select(*ROW_COLUMNS), None)
     store.write(process(fresh, files, store, settings, lemmas=lemmas, **how), version)
     rows = store.latest().select(*ROW_COLUMNS)
     evaluation = train(rows, settings, lemmas)

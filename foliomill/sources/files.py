@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliomill.functions.paths import normalize
 
 # The column headings of a labelled list.
 LABELLED_HEADINGS = ("File Path", "Document types")
-LABELLED_SCHEMA = T.StructType(
-    [T.StructField(LABELLED_HEADINGS[0], T.StringType()), T.StructField(LABELLED_HEADINGS[1], T.StringType())]
-)
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled list from CSV with a header: (path, doc_type), paths normalised."""
-    raw = spark.read.schema(LABELLED_SCHEMA).option("header", True).option("enforceSchema", False).csv(path)
+    """Labelled list from CSV with a header: (path, doc_type), paths normalised.
+
+    Columns are found by heading and read as text; types are never inferred.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
     return raw.select(normalize(F.col(LABELLED_HEADINGS[0])).alias("path"), F.col(LABELLED_HEADINGS[1]).alias("doc_type"))
 
 
@@ -45,8 +44,9 @@ def target_files(files: DataFrame, suffix: str, path: str = "path") -> DataFrame
 
 
 def other_files(files: DataFrame, suffix: str, path: str = "path") -> DataFrame:
-    """The complement of :func:`target_files`, as one column."""
-    return files.filter(~is_target(F.col(path), suffix)).select(F.col(path).alias("other_file"))
+    """The complement of :func:`target_files`, as one column: ``non_pdf_files`` for ``.pdf``."""
+    heading = f"non_{suffix.lstrip('.#')}_files"
+    return files.filter(~is_target(F.col(path), suffix)).select(F.col(path).alias(heading))
 
 
 def signature(path: Column, size: Column, modified: Column, content: Column | None = None) -> Column:
@@ -66,8 +66,3 @@ def with_signature(files: DataFrame, use_content: bool = False) -> DataFrame:
     return files.withColumn(
         "signature", signature(F.col("path"), F.col("length"), F.unix_micros("modificationTime"), content)
     )
-
-
-def for_listed(listed: DataFrame, files: DataFrame) -> DataFrame:
-    """Listed paths with their file; a listed path with no file keeps nulls."""
-    return listed.join(files, "path", "left")

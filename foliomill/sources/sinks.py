@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
+# Quotes are doubled and empty strings are written as nothing, as most CSV readers expect.
+CSV = {"header": "true", "escape": '"', "emptyValue": ""}
+
 # The headings of the error log.
 ERROR_LOG_HEADINGS = ("Timestamp", "PDF File Path", "Page Number", "Error Message")
 
@@ -16,7 +19,7 @@ ERROR_LOG_HEADINGS = ("Timestamp", "PDF File Path", "Page Number", "Error Messag
 def write_csv(df: DataFrame, path: str | None) -> None:
     """One CSV folder with headers; nothing without a path."""
     if path:
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").options(**CSV).csv(path)
 
 
 def error_log(errors: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def error_log(errors: DataFrame) -> DataFrame:
 def append_error_log(errors: DataFrame, path: str) -> bool:
     """Append to the log; a log that cannot be written never fails the job."""
     try:
-        error_log(errors).write.mode("append").option("header", True).csv(path)
+        error_log(errors).write.mode("append").options(**CSV).csv(path)
         return True
     except Exception as problem:
         log.warning("could not write error log %s: %s", path, problem)

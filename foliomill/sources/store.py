@@ -49,7 +49,7 @@ class ProcessedStore:
         rows = self._read("rows", STORE_SCHEMA + ", version int")
         if up_to is not None:
             rows = rows.filter(F.col("version") <= up_to)
-        return rows.join(F.broadcast(self.commits().distinct()), "version", "left_semi")
+        return rows.join(self.commits(), "version", "left_semi")
 
     def write(self, rows: DataFrame, version: int) -> None:
         columns = [c.split()[0] for c in STORE_SCHEMA.split(", ")]
@@ -66,12 +66,11 @@ class ProcessedStore:
         return rows.join(newest, ["path", "version"])
 
     def text_cache(self, processing: str) -> DataFrame:
-        """Cleaned texts by digest, for one way of processing."""
+        """Cleaned texts by digest, for one way of processing (a folder of its own)."""
         return (
             self._read("text_cache", CACHE_SCHEMA + ", processing string")
             .filter(F.col("processing") == processing)
-            .groupBy("text_md5")
-            .agg(F.first("processed_text").alias("processed_text"))
+            .drop("processing")
         )
 
     def add_to_text_cache(self, entries: DataFrame, processing: str) -> None:

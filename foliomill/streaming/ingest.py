@@ -37,7 +37,9 @@ def ingest(
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        fresh = new_files(with_signature(rows).select("path", "signature", "content"), store.read())
+        # A batch has at most ``maxFilesPerTrigger`` paths: the store is filtered by them in place.
+        seen = store.read().select("path").join(F.broadcast(rows.select("path")), "path", "left_semi")
+        fresh = new_files(with_signature(rows).select("path", "signature", "content"), seen)
         fresh = fresh.withColumn("doc_type", F.lit(None).cast("string"))
         if not fresh.select("path").isEmpty():
             store.write(process_contents(fresh, store, settings, **how), store.next_version())

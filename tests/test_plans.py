@@ -60,8 +60,8 @@ def world(spark, tmp_path_factory):
 
 def test_labelled_list(spark, tmp_path):
     path = tmp_path / "l.csv"
-    path.write_text('File Path,Document types\n/a//b.pdf,Manual\n"/a/./c, d.pdf",Drawing\n')
-    assert [tuple(r) for r in fl.read_labelled(spark, str(path)).collect()] == [("/a/b.pdf", "Manual"), ("/a/c, d.pdf", "Drawing")]
+    path.write_text('Note,Document types,File Path\nx,Manual,/a//b.pdf\n,Drawing,"/a/./c, ""d"".pdf"\n')
+    assert [tuple(r) for r in fl.read_labelled(spark, str(path)).collect()] == [("/a/b.pdf", "Manual"), ('/a/c, "d".pdf', "Drawing")]
 
 
 def test_tree_scan_leaves_contents_alone_and_signs_files(spark, tmp_path):

@@ -120,7 +120,7 @@ def test_review(spark):
 
 def test_text_cache_hits_and_misses(spark):
     docs = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "id int, t string")
-    cache = spark.createDataFrame([("9dd4e461268c8034f5c8564e155c67a6", "stored")], "text_md5 string, processed_text string")
+    cache = spark.createDataFrame([("9dd4e461268c8034f5c8564e155c67a6", "stored")] * 2 + [("0", "unused")], "text_md5 string, processed_text string")
     resolved = tc.resolve_texts(docs, cache, "t", lambda t: F.concat(t, F.lit("!")))
     got = {r.id: (r.processed_text, r.hit) for r in tc.with_processed(docs, resolved, "t").collect()}
     assert got == {1: ("stored", True), 2: ("stored", True), 3: ("y!", False), 4: ("!", False)}
