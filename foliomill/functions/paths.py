@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A path holding none of these is already normal and skips the fold.
 UNTIDY = r"//|(^|/)\.\.?(/|$)|./$|^$"
+# Scheme and authority of a location such as hdfs://host/folder/file.
+AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?(?=/)"
 
 
 def _fold(path: Column) -> Column:
@@ -38,6 +42,20 @@ def normalize(path: Column) -> Column:
     return F.when(path.rlike(UNTIDY), _fold(path)).otherwise(path)
 
 
+def without_authority(location: Column) -> Column:
+    """The path part of a location; a plain path stays as it is."""
+    return F.regexp_replace(location, F.lit(AUTHORITY), F.lit(""))
+
+
+def normalize_location(location: Column) -> Column:
+    """Normalise the path part only, so that ``scheme://host`` keeps its slashes."""
+    authority = F.regexp_extract(location, AUTHORITY, 0)
+    path = F.substr(location, F.length(authority) + 1)
+    # Two leading slashes mean something only at the start of a plain path.
+    rooted = F.regexp_replace(path, F.lit("^/+"), F.lit("/"))
+    return F.when(authority == "", normalize(path)).otherwise(F.concat(authority, normalize(rooted)))
+
+
 def file_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -64,11 +82,13 @@ def main_folder(path: Column) -> Column:
     return F.coalesce(F.get(F.split(path, "/"), F.lit(4)), F.lit(""))
 
 
-def path_columns(path: Column, root: str) -> list[Column]:
-    relative = relative_folder(path, root)
+def path_columns(location: Column, root: str) -> list[Column]:
+    """Name and folder columns of a file below ``root``."""
+    path = without_authority(location)
+    relative = relative_folder(path, re.sub(AUTHORITY, "", root))
     return [
         file_name(path).alias("file_name"),
-        path.alias("file_path"),
+        location.alias("file_path"),
         main_folder(path).alias("main_folder"),
         parent_folder(path).alias("parent_folder"),
         relative.alias("relative_folder"),

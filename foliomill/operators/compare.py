@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.paths import normalize
+from foliomill.functions.paths import normalize_location
 
 
 def new_files(candidates: DataFrame, seen: DataFrame, path: str = "path") -> DataFrame:
@@ -17,8 +17,8 @@ def new_files(candidates: DataFrame, seen: DataFrame, path: str = "path") -> Dat
     broadcast, and how a hot path is split, is left to adaptive execution,
     which decides on measured sizes.
     """
-    keys = seen.select(normalize(F.col(path)).alias(path)).distinct()
-    return candidates.withColumn(path, normalize(F.col(path))).join(keys, path, "left_anti")
+    keys = seen.select(normalize_location(F.col(path)).alias(path)).distinct()
+    return candidates.withColumn(path, normalize_location(F.col(path))).join(keys, path, "left_anti")
 
 
 def file_states(stored: DataFrame, current: DataFrame, path: str = "path", signature: str = "signature") -> DataFrame:

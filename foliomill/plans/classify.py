@@ -58,7 +58,9 @@ def classify_tree(
     extractor: Extractor = decode_utf8,
     min_chars: int = SPARSE_PAGE_CHARS,
 ) -> Classified:
-    """Scan, extract, clean, score, flag and write."""
+    """Scan, extract, clean, score, flag and write. ``root`` is an absolute path or a URI."""
+    if not root.startswith("/") and "://" not in root:
+        raise ValueError(f"root must be an absolute path or a URI, got {root!r}")
     model = DocumentModel.load(model_path)
     tree = scan_tree(spark, root)
     extracted = extract_documents(target_files(tree, suffix).select("path", "content"), extractor, min_chars)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.functions.paths import normalize
+from foliomill.functions.paths import normalize_location, without_authority
 
 # The column headings of a labelled list.
 LABELLED_HEADINGS = ("File Path", "Document types")
@@ -17,7 +17,7 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     Columns are found by heading and read as text; types are never inferred.
     """
     raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    return raw.select(normalize(F.col(LABELLED_HEADINGS[0])).alias("path"), F.col(LABELLED_HEADINGS[1]).alias("doc_type"))
+    return raw.select(normalize_location(plain_path(F.col(LABELLED_HEADINGS[0]))).alias("path"), F.col(LABELLED_HEADINGS[1]).alias("doc_type"))
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -26,7 +26,12 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     ``content`` is read only by plans that select it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.withColumn("path", plain_path(F.col("path")))
+    return files.withColumn("path", named_like(F.col("path"), root))
+
+
+def named_like(location: Column, root: str) -> Column:
+    """Scanned locations in the form the root was given: a root without a scheme gives plain paths."""
+    return plain_path(location) if "://" in root else without_authority(location)
 
 
 def plain_path(uri: Column) -> Column:

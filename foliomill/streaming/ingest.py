@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foliomill.operators.compare import new_files
 from foliomill.plans.model import ModelSettings
 from foliomill.plans.process import process_contents
-from foliomill.sources.files import plain_path, target_files, with_signature
+from foliomill.sources.files import named_like, target_files, with_signature
 from foliomill.sources.store import ProcessedStore
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -24,7 +24,7 @@ def stream_tree(spark: SparkSession, root: str, suffix: str, files_per_batch: in
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
     )
-    return target_files(files.withColumn("path", plain_path(F.col("path"))), suffix)
+    return target_files(files.withColumn("path", named_like(F.col("path"), root)), suffix)
 
 
 def ingest(

@@ -4,7 +4,7 @@ import posixpath
 from pyspark.sql import functions as F
 
 from foliomill.functions import paths as ph
-from foliomill.sources.files import is_target, signature
+from foliomill.sources.files import is_target, named_like, signature
 
 
 def test_normalize_equals_posixpath(spark):
@@ -32,6 +32,24 @@ def test_path_columns(spark):
     assert (nested["relative_folder"], nested["component_name"], nested["main_folder"]) == ("a/b", "a", "b")
 
 
+def test_locations_keep_scheme_and_host(spark):
+    cases = {
+        "hdfs://nn:8020//a/./b/../c": "hdfs://nn:8020/a/c",
+        "s3a://bucket/a//b": "s3a://bucket/a/b",
+        "file:/a/./b": "file:/a/b",
+        "/a//b": "/a/b",
+        "a:b/../c": "c",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert {r.p: r.n for r in df.select("p", ph.normalize_location(F.col("p")).alias("n")).collect()} == cases
+    far = spark.createDataFrame([("hdfs://nn:8020/data/x/4711/m.pdf",)], "path string")
+    for root in ("hdfs://nn:8020/data", "/data/"):
+        row = far.select(*ph.path_columns(F.col("path"), root)).first()
+        assert (row.relative_folder, row.component_name, row.main_folder) == ("x/4711", "x", "m.pdf")
+    assert far.select(named_like(F.col("path"), "/data")).first()[0] == "/data/x/4711/m.pdf"
+    assert far.select(named_like(F.col("path"), "hdfs://nn:8020/data")).first()[0] == "hdfs://nn:8020/data/x/4711/m.pdf"
+
+
 def test_target_test_looks_at_the_whole_lower_cased_path(spark):
     df = spark.createDataFrame([("/a/X.PDF",), ("/a.pdf/x.txt",)], "p string")
     assert [r[0] for r in df.select(is_target(F.col("p"), ".pdf")).collect()] == [True, False]
