@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +76,3 @@ def row_differences(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def same_rows(old: DataFrame, new: DataFrame) -> bool:
     return set(old.columns) == set(new.columns) and row_differences(old, new).isEmpty()
-
-
-def stacked(frames: list[DataFrame]) -> DataFrame:
-    return reduce(append, frames)
