@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import host_rules, packing, simhash, sp_bpe, token_files, warc
+from foliomill.llm import host_rules, html_blocks, learned_ann, packing, repeats, simhash, sp_bpe, token_files, warc
 from foliomill.llm.tokens import byte_level_encoder, word_end_encoder
 from foliomill.plans.registry import Query
 
@@ -27,6 +27,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_ann.search(_table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 @query(host_rules.SQL)
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed host_rejected kept".split()
@@ -41,6 +46,11 @@ def op3_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(repeats.SQL)
+def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 @query()
 def op5_sp_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -52,6 +62,11 @@ def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(warc.resolved(_table(spark, sf_dir, "pages"))))
 
 
+@query()
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
