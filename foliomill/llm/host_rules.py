@@ -117,6 +117,32 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, hos
     return judged.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left").drop("of").withColumn("kept", kept)
 
 
+def keep_documents(
+    docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, host_limit: float = HOST_LIMIT
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns and under any names.
+
+    Rejected hosts are a table of their own that documents are held against; the other
+    rules are applied again where the row is, so no text is shuffled unless many hosts fall.
+    """
+    verdict = judge(docs, host, min_words, host_limit)
+    bad = written(verdict.filter("host_rejected").select(F.col("host").alias("of")).distinct(), "quality-hosts")
+    left = docs.join(bad, F.col(host).cast("string").eqNullSafe(F.col("of")), "left_anti") if bad.limit(1).count() else docs
+    at = docs.columns.index("text")
+
+    def passes(text: str | None) -> bool:
+        words, chars, symbols, _, _, again = measure(text)
+        return not (words < min_words or 100 * again > 50 * words or 10 * symbols > chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                rows = batch.slice(start, 500)
+                yield rows.filter(pa.array([passes(t) for t in rows.column(at).to_pylist()], pa.bool_()))
+
+    return left.mapInArrow(run, docs.schema)
+
+
 SQL = r"""
 WITH texts AS (
   SELECT doc_id, source AS host, coalesce(text, '') AS t,

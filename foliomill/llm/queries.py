@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import host_rules, html_blocks, learned_ann, packing, repeats, simhash, sp_bpe, token_files, warc
+from foliomill.llm import gru_lm, host_rules, html_blocks, learned_ann, packing, repeats, simhash, sp_bpe, token_files, warc
 from foliomill.llm.tokens import byte_level_encoder, word_end_encoder
 from foliomill.plans.registry import Query
 
@@ -67,6 +67,11 @@ def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
 
+@query()
+def op8_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(_table(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))

@@ -21,27 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import load_file, new_folder, save_file, slices, words_of
-from foliomill.session import written
+from foliomill.llm.chunks import WORD_HASHES, by_part, groups_of, load_chunk, save_chunks
+from foliomill.llm.common import slices, words_of
 
 WINDOW = 35
-CHUNK_BYTES = 6 << 20
 PART_WORDS = 8 << 20  # words whose hashes one task of the index may hold
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_WORDS = _Hashes()
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -74,7 +63,7 @@ class Chunk:
         total = int(lengths.sum())
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        hashes = np.fromiter((h for i in used for h in map(_WORDS.__getitem__, self.words[i])), np.uint64, total)
+        hashes = np.fromiter((h for i in used for h in map(WORD_HASHES.__getitem__, self.words[i])), np.uint64, total)
         power, self._inverse = _powers(total + 1)
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:total], dtype=np.uint64)])
         self._end_of = np.repeat(self.ends, lengths)
@@ -90,18 +79,6 @@ class Chunk:
         return at - self._start_of[at]
 
 
-def _by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    for p, own in zip(*_groups(part[order], hashes[order]), strict=True):
-        yield int(p), own
-
-
-def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.split(values, first[1:]) if len(first) else []
-
-
 def _once_and_again(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values, counts = np.unique(hashes, return_counts=True)
     return values[counts == 1], values[counts > 1]
@@ -119,39 +96,6 @@ def _rows(rows: list[tuple[int, str, int, np.ndarray]]) -> pa.RecordBatch:
     )
 
 
-def save_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Pack rows into files of about ``chunk_bytes`` of text; a row per file with its path and words."""
-    folder = new_folder(docs.sparkSession, "repeat-chunks")
-
-    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
-                    out.write_batch(batch)
-            words = sum(t.count(" ") + 1 for b in held for t in b["text"].to_pylist() if t)  # near enough for sizes
-            path = save_file(folder, "chunk", ".arrows", sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_pydict({"chunk": [path], "n_words": [words]})
-
-        for batch in batches:
-            for rows in slices(batch, "text", chunk_bytes // 4):
-                held.append(rows)
-                size += rows["text"].nbytes
-                if size >= chunk_bytes:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    return written(docs.mapInArrow(save, "chunk string, n_words long"), "repeat-chunk-list")
-
-
-def load_chunk(path: str) -> pa.Table:
-    return pa.ipc.open_stream(load_file(path)).read_all()
-
-
 def _exchange(sent: DataFrame, wide: bool) -> DataFrame:
     """Bring equal hashes of all chunks together and tell each chunk which of its own are repeated.
     Narrow hashes are 32 bits beside their part and must be in the index too."""
@@ -192,7 +136,7 @@ def _member(hashes: np.ndarray, found: dict[int, np.ndarray], parts: int, dtype:
     part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     key = hashes.astype(dtype)
     out, order = np.zeros(len(hashes), bool), np.argsort(part, kind="stable")
-    numbers, groups = _groups(part[order], order)
+    numbers, groups = groups_of(part[order], order)
     for p, rows in zip(numbers.tolist(), groups, strict=True):
         if p in found:
             out[rows] = np.isin(key[rows], found[p])
@@ -225,9 +169,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, ..
                 chunk = Chunk(load_chunk(path)["text"].to_pylist(), window)
                 at, hashes = chunk.windows(block)
                 out = []
-                for p, own in _by_part(hashes[chunk.place(at) % block == 0], parts):
+                for p, own in by_part(hashes[chunk.place(at) % block == 0], parts):
                     out.append((p, path, INDEXED, np.unique(own.astype("<u4"))))
-                for p, own in _by_part(hashes, parts):
+                for p, own in by_part(hashes, parts):
                     once, again = _once_and_again(own.astype("<u4"))
                     out += [(p, path, ONCE, once), (p, path, AGAIN, again)]
                 yield _rows([r for r in out if len(r[3])])
@@ -244,7 +188,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, ..
         starts, whole = chunk.windows(window)
         near = before[starts + window - block + 1] > before[starts]  # a hit lies inside the window
         out = []
-        for p, own in _by_part(whole[near], parts):
+        for p, own in by_part(whole[near], parts):
             once, again = _once_and_again(own)
             out += [(p, path, ONCE, once), (p, path, AGAIN, again)]
         return pa.Table.from_batches([_rows([r for r in out if len(r[3])])])

@@ -53,15 +53,16 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): a signed long per document. No words: zero."""
+    """(doc_id, digest, fp): the hash of each row's text and its fingerprint as a signed long. No words: zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
                 fps = np.array([fingerprint(t, width) for t in rows["text"].to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], rows["digest"], pa.array(fps)], ["doc_id", "digest", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    return columns.mapInArrow(run, "doc_id long, digest long, fp long")
 
 
 def _split(bits: list[int], blocks: int) -> list[int]:
@@ -134,22 +135,51 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, blocks: int = 6) ->
     return small if again is None else small.unionByName(_linked(_met(again).drop("n"), radius))
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """Per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits) and component_id,
-    the smallest doc_id that links reach. A null or empty text has fingerprint zero and
-    is linked like any other. A null doc_id gets its group's smallest; with no other
-    document it stays null. Repeated rows come back each. Empty in, empty out."""
+def _grouped(docs: DataFrame, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, fp), and (of, component, component_id) for each fingerprint that more
+    than one row has or that is linked. Others are groups of their own and left out."""
     rows = written(fingerprints(docs, width), "simhash-rows")
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-classes")
     groups = written(components(fingerprint_links(classes.select("fp"), radius)), "simhash-groups")
     members = classes.join(groups, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp"))
-    # classes of one row that nothing links keep their own id, so they are left out of the join
     shared = members.filter((F.col("n") > 1) | F.col("node").isNotNull())
     least = shared.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = shared.select(F.col("fp").alias("of"), "component").join(least, "component").select("of", "component_id")
-    out = rows.join(named, F.col("fp") == F.col("of"), "left")
-    return out.select(
+    return rows, shared.select(F.col("fp").alias("of"), "component").join(least, "component").select("of", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+    """Per row of ``docs``: doc_id, fingerprint (16 hexadecimal digits) and component_id,
+    the smallest doc_id that links reach. A null or empty text has fingerprint zero and
+    is linked like any other. A null doc_id gets its group's smallest; with no other
+    document it stays null. Repeated rows come back each. Empty in, empty out."""
+    rows, groups = _grouped(docs, width, radius)
+    return rows.join(groups, F.col("fp") == F.col("of"), "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` without near copies, with all their columns: of each group the row of
+    the smallest doc_id stays, of rows with that id too the one whose text hashes lowest, and of
+    equal rows one. A null doc_id stays only where no other is in the group."""
+    rows, groups = _grouped(docs, width, radius)
+    joined = rows.join(groups, F.col("fp") == F.col("of"), "left").select(
+        "doc_id", "digest", F.coalesce("component", "fp").alias("group"), F.isnull("doc_id").alias("no_id")
+    )
+    first = joined.groupBy("group").agg(F.min(F.struct("no_id", "doc_id", "digest")).alias("k"))
+    winners = first.select(F.col("k.doc_id").alias("winner"), F.col("k.digest").alias("winner_digest")).distinct()
+    again = joined.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.select(
+        *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)),
+        F.col("doc_id").cast("long").alias("own_id"),
+        F.xxhash64("text").alias("own_digest"),
+    )
+    match = F.col("own_id").eqNullSafe(F.col("winner")) & (F.col("own_digest") == F.col("winner_digest"))
+    kept = keyed.join(winners, match, "left_semi")
+    if again:  # rows that no column tells apart
+        packed = F.struct(*names).alias("row")
+        kept = kept.groupBy("own_id", "own_digest").agg(F.first(packed).alias("row")).select("row.*")
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
