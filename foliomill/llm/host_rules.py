@@ -126,8 +126,11 @@ def keep_documents(
     rules are applied again where the row is, so no text is shuffled unless many hosts fall.
     """
     verdict = judge(docs, host, min_words, host_limit)
-    bad = written(verdict.filter("host_rejected").select(F.col("host").alias("of")).distinct(), "quality-hosts")
-    left = docs.join(bad, F.col(host).cast("string").eqNullSafe(F.col("of")), "left_anti") if bad.limit(1).count() else docs
+    bad = written(verdict.filter("host_rejected").select("host").distinct(), "quality-hosts")
+    left = docs
+    if bad.limit(1).count():
+        name = "_" + max(docs.columns, key=len)  # none of the documents' own
+        left = docs.join(bad.toDF(name), F.col(host).cast("string").eqNullSafe(F.col(name)), "left_anti")
     at = docs.columns.index("text")
 
     def passes(text: str | None) -> bool:

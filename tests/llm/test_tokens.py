@@ -1,0 +1,162 @@
+import base64
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from foliomill.llm import packing, sp_bpe, token_files
+from foliomill.llm.tokens import byte_level_encoder, word_end_encoder
+
+BYTE, WORD, RANKS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+TEXTS = st.text(st.sampled_from(list(" \n\t\r\x0b\x1c  abcT'sé漢1２,.#́İΣ\U0001f600")), max_size=60)
+
+
+def library(path):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_segments_encode_like_whole_texts(text):
+    for encoder, path in ((byte_level_encoder(BYTE, P.PATTERN), BYTE), (word_end_encoder(WORD), WORD)):
+        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == library_of(path)(text)
+
+
+_KEPT = {}
+
+
+def library_of(path):
+    if path not in _KEPT:
+        _KEPT[path] = library(path)
+    return _KEPT[path]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(RANKS, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+@pytest.mark.parametrize("table", ["odd", "sample"])
+def test_sp_bpe_equals_ranks_library(table, request, reference):
+    docs = request.getfixturevalue(table)
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in docs.collect())
+    want = []
+    for missing, doc_id, text in texts:
+        ids = reference(text)
+        digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        want.append((missing, doc_id, len(ids), digest, hashlib.sha256(text.encode()).hexdigest()))
+    got = [(r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in sp_bpe.round_trip(docs, RANKS, P.PATTERN).collect()]
+    assert sorted(got) == sorted(want)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 70000, 1 << 24]), max_size=700), max_size=5), st.sampled_from([1, 4, 8]))
+def test_token_file_gives_any_token(documents, bits):
+    arrays = [np.array(d, np.uint32) for d in documents]
+    file = token_files.TokenFile(token_files.encode_file([None, *range(1, len(arrays))][: len(arrays)], arrays, bits))
+    ids = np.concatenate([np.zeros(0, np.uint32), *arrays])
+    assert file.tokens(np.arange(len(ids))).tolist() == ids.tolist()
+    assert file.tokens(np.arange(len(ids))[::-3]).tolist() == ids[::-3].tolist()
+    assert [file.token(i) for i in range(0, len(ids), 37)] == ids[::37].tolist()
+    for i, d in enumerate(arrays):
+        assert file.document(i).tolist() == d.tolist()
+    assert file.doc_ids == [None, *range(1, len(arrays))][: len(arrays)]
+
+
+@pytest.mark.parametrize("table", ["odd", "sample"])
+def test_token_files(table, request):
+    docs = request.getfixturevalue(table)
+    encode = library(WORD)
+    files = token_files.write_token_files(docs, lambda: word_end_encoder(WORD), 2, 3, file_tokens=5000)
+    got = token_files.read_token_files(files).collect()
+    want = {}
+    for r in docs.collect():
+        ids = encode(r.text) + [2]
+        want.setdefault(r.doc_id, []).append((len(ids), crc(ids)))
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, []).append((r.n_tokens, r.ids_crc32))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    assert table != "sample" or files.count() > 3
+
+
+def check_pieces(docs, pieces, encode, window):
+    want = sorted((r.doc_id is None, r.doc_id or 0, tuple(encode(r.text) + [0])) for r in docs.collect())
+    sequences, documents = {}, {}
+    for r in pieces:
+        sequences.setdefault(r.sequence_id, []).append(r)
+        documents.setdefault((r.doc_id is None, r.doc_id or 0), []).append(r)
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(r.length for r in own[:k]) for k in range(len(own))]
+        total = sum(r.length for r in own)
+        assert total == window or (total < window and total & (total - 1) == 0)
+    for key, own in documents.items():
+        texts = [ids for a, b, ids in want if (a, b) == key]
+        pool = sorted((r.start, r.length, r.ids_crc32) for r in own)
+        assert sum(n for _, n, _ in pool) == sum(map(len, texts))
+        for start, n, c in pool:
+            assert any(crc(ids[start : start + n]) == c for ids in texts)
+        if len(texts) == 1:
+            assert [s for s, _, _ in pool] == [sum(n for _, n, _ in pool[:k]) for k in range(len(pool))]
+    assert set(documents) == {(a, b) for a, b, _ in want}
+
+
+@pytest.mark.parametrize("table", ["odd", "sample"])
+@pytest.mark.parametrize("window", [64, 1024])
+def test_packing_holds_every_token_once(table, window, request):
+    docs = request.getfixturevalue(table)
+    pieces = packing.pack(docs, lambda: byte_level_encoder(BYTE, P.PATTERN), 0, 50_257, window, shard_rows=40).collect()
+    check_pieces(docs, pieces, library(BYTE), window)
+
+
+def test_packing_takes_the_lexically_nearest():
+    documents = [np.array(x, np.uint16) for x in ([1, 2, 3, 0], [9, 8, 7, 0], [1, 2, 4, 0], [9, 8, 6, 0])]
+    df = np.bincount(np.concatenate(documents), minlength=10)
+    index = packing.ShardIndex(documents, df, 4, 4.0)
+    assert packing.fill_windows(index, [4] * 4, 8) == [[(0, 0, 4), (2, 0, 4)], [(1, 0, 4), (3, 0, 4)]]
+
+
+def test_scores_equal_plain_bm25():
+    rng = np.random.default_rng(1)
+    documents = [rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint16) for _ in range(20)]
+    df = np.zeros(30, int)
+    for d in documents:
+        df[np.unique(d)] += 1
+    mean = np.mean([len(d) for d in documents])
+    index = packing.ShardIndex(documents, df, 20, mean)
+    for q in range(20):
+        for d in range(20):
+            want = 0.0
+            for t in set(documents[q].tolist()):
+                tf = int((documents[d] == t).sum())
+                want += np.log1p((20 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(documents[d]) / mean))
+            assert index.scores(q)[d] == pytest.approx(want)
+
+
+def test_empty_tables(make):
+    none = make([], extra=False)
+    assert packing.pack(none, lambda: byte_level_encoder(BYTE, P.PATTERN), 0, 50_257).count() == 0
+    assert sp_bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
+    files = token_files.write_token_files(none, lambda: word_end_encoder(WORD), 2, 2)
+    assert token_files.read_token_files(files).count() == 0
