@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from foliomill.operators.metrics import cv_summary
 from foliomill.operators.review import DEFAULT_THRESHOLD, review_queue, review_summary
@@ -12,10 +13,17 @@ from foliomill.plans.process import load_or_process
 from foliomill.plans.train import cross_validate, train
 from foliomill.plans.update import model_path, update
 from foliomill.session import build_session
+from foliomill.sources.extract import Extractor, decode_utf8
 from foliomill.sources.files import read_labelled, scan_tree, target_files
 from foliomill.sources.store import ProcessedStore
 
 
+def imported(name: str) -> Extractor:
+    """``module:function``."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="foliomill")
     commands = top.add_subparsers(dest="command", required=True)
@@ -27,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--store", required=True, help="processed store")
         one.add_argument("--model", required=True, help="model base path; '_v<n>' is added")
         one.add_argument("--error-log")
+        one.add_argument("--lemmas", help="Parquet folder with columns form and lemma")
+        one.add_argument("--profile", choices=("replace", "delete"), default="replace", help="how texts are cleaned")
+        one.add_argument("--extractor", type=imported, default=decode_utf8, help="module:function for the file format")
     one = commands.add_parser("classify")
     one.add_argument("--root", required=True)
     one.add_argument("--suffix", default=".pdf")
@@ -35,16 +46,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--others", help="CSV folder for the files of other types")
     one.add_argument("--error-log")
     one.add_argument("--threshold", type=float, default=DEFAULT_THRESHOLD)
+    one.add_argument("--extractor", type=imported, default=decode_utf8, help="module:function for the file format")
     return top
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = build_session()
-    settings = ModelSettings()
     if args.command == "classify":
         done = classify_tree(
-            spark, args.root, args.model, args.suffix, args.out, args.others, args.error_log, args.threshold
+            spark, args.root, args.model, args.suffix, args.out, args.others, args.error_log, args.threshold,
+            args.extractor,
         )
         done.results.orderBy("file_path").show(5, truncate=False)
         review_summary(done.results).show()
@@ -54,12 +66,15 @@ def main(argv: list[str] | None = None) -> None:
     listed = read_labelled(spark, args.labelled)
     files = target_files(scan_tree(spark, args.root), args.suffix)
     store = ProcessedStore(spark, args.store)
+    settings = ModelSettings(profile=args.profile)
+    lemmas = spark.read.parquet(args.lemmas).select("form", "lemma") if args.lemmas else None
+    how = {"error_log": args.error_log, "extractor": args.extractor, "lemmas": lemmas}
     if args.command == "train":
-        rows = load_or_process(listed, files, store, settings, error_log=args.error_log)
-        evaluation = train(rows, settings)
-        evaluation.model.save(model_path(args.model, 1))
+        rows = load_or_process(listed, files, store, settings, **how)
+        evaluation = train(rows, settings, lemmas)
+        evaluation.model.save(model_path(args.model, store.next_version() - 1))
     else:
-        done = update(listed, files, store, args.model, settings, error_log=args.error_log)
+        done = update(listed, files, store, args.model, settings, **how)
         if done.evaluation is None:
             print("nothing new")
             return
@@ -67,7 +82,7 @@ def main(argv: list[str] | None = None) -> None:
     print(f"accuracy: {evaluation.accuracy():.2%}")
     evaluation.report().show(truncate=False)
     evaluation.confusion_matrix().show()
-    cv_summary(cross_validate(rows, settings)).show()
+    cv_summary(cross_validate(rows, settings, lemmas)).show()
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import Column
@@ -66,8 +67,11 @@ def parent_folder(path: Column) -> Column:
 
 
 def relative_folder(path: Column, root: str) -> Column:
-    """Folder of the file relative to ``root``; ``.`` for a file directly in it."""
-    base = root.rstrip("/") + "/"
+    """Folder of the file relative to ``root``; ``.`` for a file directly in it.
+
+    The root is normalised as scanned paths are, so ``/a//b`` and ``/a/./b/`` are ``/a/b``.
+    """
+    base = posixpath.normpath("/" + root.lstrip("/") if root.startswith("/") else root).rstrip("/") + "/"
     inner = F.substr(path, F.lit(len(base) + 1))
     cut = F.length(inner) - F.length(file_name(inner)) - 1
     return F.when(cut > 0, F.substr(inner, F.lit(1), cut)).otherwise(F.lit("."))

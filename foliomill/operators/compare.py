@@ -16,7 +16,11 @@ def new_files(candidates: DataFrame, seen: DataFrame, path: str = "path") -> Dat
     which decides on measured sizes.
     """
     keys = seen.select(normalize_location(F.col(path)).alias(path)).distinct()
-    return candidates.withColumn(path, normalize_location(F.col(path))).join(keys, path, "left_anti")
+    # A coalesced key is never null, so no null test that would fold the path again is put below the join.
+    located = candidates.withColumn(path, normalize_location(F.col(path)))
+    key = F.coalesce(F.col(path), F.lit(""))
+    seen_key = F.coalesce(F.col("_seen"), F.lit(""))
+    return located.join(keys.withColumnRenamed(path, "_seen").filter(F.col("_seen") != ""), key == seen_key, "left_anti")
 
 
 def file_states(stored: DataFrame, current: DataFrame, path: str = "path", signature: str = "signature") -> DataFrame:

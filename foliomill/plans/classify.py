@@ -11,6 +11,7 @@ from foliomill.functions.paths import path_columns
 from foliomill.operators.pages import SPARSE_PAGE_CHARS
 from foliomill.operators.review import DEFAULT_THRESHOLD, flag_for_review
 from foliomill.plans.model import DocumentModel, prepare
+from foliomill.session import written
 from foliomill.sources.extract import Extractor, decode_utf8, extract_documents, failures
 from foliomill.sources.files import other_files, scan_tree, target_files
 from foliomill.sources.sinks import append_error_log, write_csv
@@ -33,10 +34,11 @@ def score_files(
     return finish(extract_documents(files, extractor, min_chars), model, root, threshold)
 
 
-def finish(extracted: DataFrame, model: DocumentModel, root: str, threshold: float | None) -> DataFrame:
+def finish(extracted: DataFrame, model: DocumentModel, root: str, threshold: float | None, *kept: str) -> DataFrame:
+    """Score extracted files; ``kept`` names further columns to carry along."""
     scored = model.score(prepare(extracted, model.settings, model.lemmas))
     return flag_for_review(
-        scored.select(*path_columns(F.col("path"), root), "document_type", "confidence"), threshold
+        scored.select(*path_columns(F.col("path"), root), "document_type", "confidence", *kept), threshold
     )
 
 
@@ -58,16 +60,22 @@ def classify_tree(
     extractor: Extractor = decode_utf8,
     min_chars: int = SPARSE_PAGE_CHARS,
 ) -> Classified:
-    """Scan, extract, clean, score, flag and write. ``root`` is an absolute path or a URI."""
+    """Scan, extract, clean, score, flag and write. ``root`` is an absolute path or a URI.
+
+    Files are read once: scored rows with their errors are written to the shared folder,
+    and the CSV, the error log and what the caller does with the results come from there.
+    """
     if not root.startswith("/") and "://" not in root:
         raise ValueError(f"root must be an absolute path or a URI, got {root!r}")
     model = DocumentModel.load(model_path)
     tree = scan_tree(spark, root)
     extracted = extract_documents(target_files(tree, suffix).select("path", "content"), extractor, min_chars)
-    results = finish(extracted, model, root, threshold)
+    errors = ("path", "error_page", "error")
+    scored = written(finish(extracted, model, root, threshold, *errors), "classified")
+    results = scored.drop(*errors)
     others = other_files(tree, suffix)
     write_csv(results, results_csv)
     write_csv(others, others_csv)
     if error_log:
-        append_error_log(failures(extracted), error_log)
+        append_error_log(failures(scored), error_log)
     return Classified(results, others)

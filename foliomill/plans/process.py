@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliomill.operators.lemmas import lemmatize
 from foliomill.operators.pages import SPARSE_PAGE_CHARS
 from foliomill.operators.textcache import new_entries, resolve_texts, with_processed
-from foliomill.plans.model import ModelSettings, clean_words
+from foliomill.plans.model import ModelSettings, clean_words, processing_tag
 from foliomill.session import written
 from foliomill.sources.extract import Extractor, decode_utf8, extract_documents, failures
 from foliomill.sources.files import with_signature
@@ -53,9 +53,10 @@ def process_contents(
         "resolved",
     )
     store.add_to_text_cache(new_entries(resolved), settings.processing())
-    rows = with_processed(extracted, resolved, "raw_text").withColumn("processing", F.lit(settings.processing()))
+    tag = processing_tag(settings, lemmas, extractor, min_chars)
+    rows = with_processed(extracted, resolved, "raw_text").withColumn("processing", F.lit(tag))
     if lemmas is not None:
-        rows = lemmatize(rows, "processed_text", "path", lemmas)
+        rows = lemmatize(rows, "processed_text", lemmas)
     return rows.select(*ROW_COLUMNS)
 
 
@@ -71,11 +72,14 @@ def load_or_process(
     A stored row is reused when its path, file state and processing are
     unchanged; only the others are processed, and stored as a new version.
     """
+    tag = processing_tag(
+        settings, how.get("lemmas"), how.get("extractor", decode_utf8), how.get("min_chars", SPARSE_PAGE_CHARS)
+    )
     now = with_signature(files).select("path", "signature")
     current = listed.join(now, "path", "left")
     stored = (
         store.latest()
-        .filter(F.col("processing") == settings.processing())
+        .filter(F.col("processing") == tag)
         .select("path", F.col("signature").alias("_stored"), "raw_text", "processed_text", "features", "processing")
         .dropDuplicates(["path"])
     )

@@ -1,29 +1,46 @@
-"""Queries that fit models; their results are checked by tests, not by SQL."""
+"""Queries that fit models.
+
+What SQL can compute of them is registered next to its SQL: who was held out, class
+supports, whether the model beats the majority class, and the columns that don't
+depend on the trees. The full outputs are functions; tests look at them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomill.functions.layout import layout_features
 from foliomill.functions.numeric import rounded
+from foliomill.functions.text import tokens
+from foliomill.operators.lemmas import build_lemma_table
+from foliomill.operators.sampling import stratified_folds
 from foliomill.operators.svd import fit_svd, project
 from foliomill.operators.terms import TermSpace, sparse_rows, vocabulary, with_terms
 from foliomill.plans import tables as tb
+from foliomill.plans import train as tr
 from foliomill.plans.classify import score_files
-from foliomill.plans.model import ModelSettings, prepare
+from foliomill.plans.model import ModelSettings, clean_words, prepare
 from foliomill.plans.registry import query
-from foliomill.plans import train as tr
-from foliomill.session import spread, written
+from foliomill.session import discard, spread, written
+from foliomill.sources.extract import extract_documents
 
 SETTINGS = ModelSettings()
 
 
-def labelled_rows(spark, sf_dir):
-    """Labelled documents as training rows; the language is the document type."""
-    docs = tb.stored_documents(spark, sf_dir).select(
-        "path", F.col("lang").alias("doc_type"), F.col("doc_id").alias("position"), F.col("text").alias("raw_text")
+def _contents(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("content", F.encode("text", "UTF-8"))
+
+
+def labelled_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents as training rows, extracted as scoring does, and their lemma table;
+    the language is the document type."""
+    docs = _contents(tb.stored_documents(spark, sf_dir)).select(
+        "path", F.col("lang").alias("doc_type"), F.col("doc_id").alias("position"), "content"
     )
-    return prepare(docs.withColumn("features", layout_features(F.col("raw_text"))), SETTINGS, None)
+    extracted = extract_documents(docs)
+    words = extracted.select(tokens(clean_words(F.col("raw_text"), SETTINGS)).alias("words"))
+    lemmas = written(build_lemma_table(words, "words"), "lemmas")
+    return prepare(extracted, SETTINGS, lemmas), lemmas
 
 
 @query()
@@ -37,22 +54,96 @@ def svd_project(spark, sf_dir):
     )
 
 
-@query()
+_LABELLED_SQL = f"""
+listed AS (
+  SELECT {tb.DOC_PATH_SQL} AS path, d.lang, d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || path), path) - 1 AS rank FROM listed
+)"""
+
+
+def forest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole hold-out report."""
+    rows, lemmas = labelled_rows(spark, sf_dir)
+    return tr.train(rows, SETTINGS, lemmas).report()
+
+
+@query(
+    f"""WITH {_LABELLED_SQL},
+    counts AS (SELECT lang, count(*) AS n, min(doc_id) AS first FROM listed GROUP BY lang),
+    shares AS (
+      SELECT lang, n * 20 // 100 AS base,
+             row_number() OVER (ORDER BY n * 20 % 100 DESC, first) AS place,
+             (sum(n) OVER () * 20 + 99) // 100 - sum(n * 20 // 100) OVER () AS spare
+      FROM counts
+    ),
+    held_out AS (
+      SELECT r.lang, count(*) AS support FROM ranked r JOIN shares s ON s.lang = r.lang
+      WHERE rank < base + CASE WHEN place <= spare THEN 1 ELSE 0 END GROUP BY r.lang
+    )
+    SELECT lang AS "class", support, max(support) OVER () / (sum(support) OVER ())::DOUBLE AS majority, TRUE AS beats_majority
+    FROM held_out"""
+)
 def train_forest(spark, sf_dir):
-    report = tr.train(labelled_rows(spark, sf_dir), SETTINGS).report()
-    return report.select("class", *[rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")], "support")
+    """Held-out rows by class, the majority class's share, and whether the accuracy is above it."""
+    report = forest_report(spark, sf_dir)
+    classes = report.filter(~F.col("class").isin("accuracy", "macro avg", "weighted avg") & (F.col("support") > 0))
+    hit = report.filter(F.col("class") == "accuracy").select(F.col("precision").alias("hit")).first()[0]
+    every = Window.partitionBy()
+    return classes.select(
+        "class",
+        "support",
+        (F.max("support").over(every) / F.sum("support").over(every).cast("double")).alias("majority"),
+        (F.lit(hit) > F.max("support").over(every) / F.sum("support").over(every).cast("double")).alias("beats_majority"),
+    )
 
 
-@query()
+@query(
+    f"""WITH {_LABELLED_SQL},
+    counts AS (SELECT CAST(rank % 5 AS INTEGER) AS fold, lang, count(*) AS n FROM ranked GROUP BY ALL)
+    SELECT fold, CAST(sum(n) AS BIGINT) AS n, max(n) AS majority, TRUE AS beats_majority FROM counts GROUP BY fold"""
+)
 def cross_validate(spark, sf_dir):
-    return tr.cross_validate(labelled_rows(spark, sf_dir), SETTINGS)
+    """Rows of each fold, those of its largest class, and whether the fold's model hits more."""
+    rows, lemmas = labelled_rows(spark, sf_dir)
+    rows = written(rows.select("path", "doc_type", "position", "processed_text", "features"), "cv-rows")
+    scores = tr.cross_validate(rows, SETTINGS, lemmas).select("fold", "hits")
+    numbered, _ = tr.number_labels(rows)
+    folds = stratified_folds(numbered.select("path", "label"), "label", "path", SETTINGS.folds, SETTINGS.seed)
+    by_class = folds.groupBy("fold", "label").agg(F.count("*").alias("n"))
+    sizes = written(by_class.groupBy("fold").agg(F.sum("n").alias("n"), F.max("n").alias("majority")), "cv-sizes")
+    discard(rows)
+    return sizes.join(scores, "fold").select("fold", "n", "majority", (F.col("hits") > F.col("majority")).alias("beats_majority"))
 
 
-@query()
-def classify_documents(spark, sf_dir):
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on the labelled documents, then score every document from its bytes."""
-    model = tr.train(labelled_rows(spark, sf_dir), SETTINGS).model
-    files = spread(tb.table(spark, sf_dir, "documents"), "doc_id").select(
-        tb.document_path().alias("path"), F.encode("text", "UTF-8").alias("content")
+    rows, lemmas = labelled_rows(spark, sf_dir)
+    model = tr.train(rows, SETTINGS, lemmas).model
+    files = _contents(spread(tb.table(spark, sf_dir, "documents"), "doc_id")).select(
+        tb.document_path().alias("path"), "content"
     )
     return score_files(files, model, tb.ARCHIVE)
+
+
+@query(
+    """SELECT doc_id || '.txt' AS file_name, '/archive/' || source || '/' || doc_id || '.txt' AS file_path,
+       doc_id || '.txt' AS main_folder, source AS parent_folder, source AS relative_folder,
+       source AS component_name, TRUE AS type_is_known, TRUE AS confidence_in_range, TRUE AS flag_follows
+    FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source FROM documents)"""
+)
+def classify_documents(spark, sf_dir):
+    """Every document's path columns, and checks of its type, confidence and review flag."""
+    known = tb.table(spark, sf_dir, "documents").select(F.sort_array(F.collect_set("lang"))).first()[0]
+    return classified(spark, sf_dir).select(
+        "file_name",
+        "file_path",
+        "main_folder",
+        "parent_folder",
+        "relative_folder",
+        "component_name",
+        F.col("document_type").isin(known).alias("type_is_known"),
+        F.col("confidence").between(100 / len(known), 100).alias("confidence_in_range"),
+        (F.col("needs_review") == (F.col("confidence") < 80)).alias("flag_follows"),
+    )

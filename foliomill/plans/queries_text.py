@@ -97,7 +97,7 @@ def build_lemma_table(spark, sf_dir):
 )
 def lemmatize_tokens(spark, sf_dir):
     docs = tb.tokenized(spark, sf_dir)
-    swapped = lm.lemmatize(tb.cleaned(spark, sf_dir), "processed_text", "doc_id", lm.build_lemma_table(docs, "toks"))
+    swapped = lm.lemmatize(tb.cleaned(spark, sf_dir), "processed_text", lm.build_lemma_table(docs, "toks"))
     return _tokens_out(swapped.select("doc_id", tx.tokens(F.col("processed_text")).alias("toks")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliomill.operators.compare import new_files
 from foliomill.plans.model import DocumentModel, ModelSettings
@@ -23,9 +24,12 @@ def model_path(base: str, version: int) -> str:
     return f"{base}_v{version}"
 
 
-def previous_model(base: str, version: int) -> DocumentModel:
-    """The model of the version before; the first version looks at itself."""
-    return DocumentModel.load(model_path(base, max(version - 1, 1)))
+def previous_model(base: str, version: int) -> str:
+    """Path of the newest model before ``version``; the first version has none before it and needs none."""
+    for number in range(version - 1, 0, -1):
+        if DocumentModel.exists(model_path(base, number)):
+            return model_path(base, number)
+    raise FileNotFoundError(f"no model before version {version} at {base}")
 
 
 @dataclass(frozen=True)
@@ -45,15 +49,24 @@ def update(
     dedupe: bool = False,
     **how,
 ) -> Updated:
-    """Process the listed files the store has not seen, append them, retrain and save the next version.
+    """Process the listed files the store has no labelled row of, append them, retrain and save.
 
-    Nothing new means no new version and no retraining.
+    A model has the number of the store version it was trained on. Nothing new means
+    no new version, and no retraining either, unless the last run died before its model
+    was saved. Files that a stream stored without a label count as new once they are listed.
+    From the second version on there must be an earlier model.
     """
-    fresh = new_rows(store.read(), listed, dedupe)
+    stored = store.read().filter(F.col("doc_type").isNotNull())
+    fresh = new_rows(stored, listed, dedupe)
     version = store.next_version()
-    if fresh.isEmpty():
-        return Updated(version - 1, store.latest().select(*ROW_COLUMNS), None)
-    store.write(process(fresh, files, store, settings, lemmas=lemmas, **how), version)
+    if not fresh.isEmpty():
+        if version > 1:
+            previous_model(model_base, version)
+        store.write(process(fresh, files, store, settings, lemmas=lemmas, **how), version)
+    else:
+        version -= 1
+        if version == 0 or DocumentModel.exists(model_path(model_base, version)):
+            return Updated(version, store.latest().select(*ROW_COLUMNS), None)
     rows = store.latest().select(*ROW_COLUMNS)
     evaluation = train(rows, settings, lemmas)
     evaluation.model.save(model_path(model_base, version))

@@ -95,4 +95,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` made, once nothing reads them any more."""
+    for table in tables:
+        path = getattr(table, "_written_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -16,7 +16,7 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
 
     Columns are found by heading and read as text; types are never inferred.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
     return raw.select(normalize_location(plain_path(F.col(LABELLED_HEADINGS[0]))).alias("path"), F.col(LABELLED_HEADINGS[1]).alias("doc_type"))
 
 

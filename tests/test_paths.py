@@ -17,18 +17,21 @@ def test_normalize_equals_posixpath(spark):
 
 
 def test_path_columns(spark):
-    rows = [("/test/path/4710.11243.98673/document.pdf",), ("/test/path/top.pdf",), ("/test/path/a/b/c.pdf",)]
-    out = spark.createDataFrame(rows, "path string").select(*ph.path_columns(F.col("path"), "/test/path")).collect()
+    rows = [("/srv/in/77.5/report.pdf",), ("/srv/in/top.pdf",), ("/srv/in/a/b/c.pdf",)]
+    df = spark.createDataFrame(rows, "path string")
+    out = df.select(*ph.path_columns(F.col("path"), "/srv/in")).collect()
+    for untidy in ("/srv//in", "/srv/./in/", "//srv/in", "/srv/x/../in"):
+        assert df.select(*ph.path_columns(F.col("path"), untidy)).collect() == out
     deep, top, nested = (r.asDict() for r in out)
     assert deep == {
-        "file_name": "document.pdf",
-        "file_path": "/test/path/4710.11243.98673/document.pdf",
-        "main_folder": "document.pdf",
-        "parent_folder": "4710.11243.98673",
-        "relative_folder": "4710.11243.98673",
-        "component_name": "4710.11243.98673",
+        "file_name": "report.pdf",
+        "file_path": "/srv/in/77.5/report.pdf",
+        "main_folder": "report.pdf",
+        "parent_folder": "77.5",
+        "relative_folder": "77.5",
+        "component_name": "77.5",
     }
-    assert (top["relative_folder"], top["component_name"], top["main_folder"], top["parent_folder"]) == (".", ".", "", "path")
+    assert (top["relative_folder"], top["component_name"], top["main_folder"], top["parent_folder"]) == (".", ".", "", "in")
     assert (nested["relative_folder"], nested["component_name"], nested["main_folder"]) == ("a/b", "a", "b")
 
 
