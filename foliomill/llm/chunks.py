@@ -55,7 +55,7 @@ def load_chunk(path: str) -> pa.Table:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -64,6 +64,13 @@ class _Hashes(dict):
 WORD_HASHES = _Hashes()
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the values are in ``known``, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")

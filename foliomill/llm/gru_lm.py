@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from foliomill.llm.chunks import WORD_HASHES, load_chunk, save_chunks
 from foliomill.llm.common import lower_words_of
 from foliomill.session import written
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 PART_WORDS = 8 << 20
 HEAD = 2046  # words the model knows; with the end and <unk> it has 2048 outputs
 CLASS = 32  # words to a class
@@ -56,7 +57,8 @@ class Chunk:
         self.doc_ids = table["doc_id"].to_pylist()
         words = [lower_words_of(t) for t in table["text"].to_pylist()]
         self.sizes = np.array([len(w) for w in words], np.int64)
-        self.hashes = np.fromiter((h for w in words for h in map(WORD_HASHES.__getitem__, w)), np.uint64, int(self.sizes.sum()))
+        every = map(WORD_HASHES.__getitem__, chain.from_iterable(words))
+        self.hashes = np.fromiter(every, np.uint64, int(self.sizes.sum()))
         self.ends = np.cumsum(self.sizes)
         self.held_out = np.array([is_held_out(d) for d in self.doc_ids], bool)
 

@@ -204,6 +204,26 @@ LABELLED = [
     [(1, "article p", 3, 1), (1, "article p", 12, 8)],
     [(1, "h1", 6, 0), (1, "p", 44, 0), (1, "p", 10, 0)],
     [(1, "p", 24, 0)],
+    [
+        (0, "header p", 40, 0), (0, "div.cookie p", 35, 0), (1, "article p", 90, 0), (1, "article p", 70, 0), (0, "footer", 40, 0),
+        (0, "aside p", 60, 0), (0, "div.ad p", 30, 0), (0, "form p", 45, 0), (0, "footer p", 25, 0),
+    ],
+    [
+        (0, "div.notice p", 50, 0), (1, "h1", 6, 0), (1, "p", 40, 8), (1, "p", 64, 11), (1, "p", 25, 9), (1, "p", 90, 0), (1, "p", 40, 0), (1, "p", 66, 0), (0, "div.comments p", 70, 0),
+        (0, "div.comments p", 44, 0), (0, "div.related p", 33, 0), (0, "footer p", 60, 0), (0, "div", 14, 14), (0, "p", 22, 19), (0, "div", 30, 24),
+    ],
+    [(1, "p", 1, 0)],
+    [(1, "p", 3, 0)],
+    [(1, "p", 5, 0)],
+    [(1, "p", 8, 0)],
+    [
+        (0, "div", 4, 0), (0, "div", 6, 2), (1, "h1", 7, 0), (1, "p", 60, 0), (1, "p", 35, 0), (1, "p", 14, 0), (1, "p", 80, 0),
+        (0, "p", 8, 0), (0, "div", 5, 0), (0, "p", 6, 1), (0, "div", 9, 0),
+    ],
+    [
+        (0, "div", 7, 0), (0, "div", 5, 0), (0, "div", 3, 2), (1, "div h2", 5, 0), (1, "div p", 44, 0), (1, "div p", 52, 1), (1, "div p", 20, 0),
+        (0, "div", 6, 0), (0, "div", 8, 3), (0, "div", 7, 0),
+    ],
     [(1, "div.post h2", 4, 0), (1, "div.post p", 18, 0), (0, "div.comments div p", 35, 0), (0, "div.comments div p", 80, 0)],
     [(0, "ul li", 1, 1), (0, "ul li", 2, 2), (1, "article h1", 4, 0), (1, "article p", 7, 0), (0, "p", 5, 4)],
 ]

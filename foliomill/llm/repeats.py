@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.chunks import WORD_HASHES, by_part, groups_of, load_chunk, save_chunks
+from foliomill.llm.chunks import WORD_HASHES, among, by_part, groups_of, load_chunk, save_chunks
 from foliomill.llm.common import slices, words_of
 
 WINDOW = 35
@@ -63,7 +64,8 @@ class Chunk:
         total = int(lengths.sum())
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        hashes = np.fromiter((h for i in used for h in map(WORD_HASHES.__getitem__, self.words[i])), np.uint64, total)
+        every = chain.from_iterable([self.words[i] for i in used])
+        hashes = np.fromiter(map(WORD_HASHES.__getitem__, every), np.uint64, total)
         power, self._inverse = _powers(total + 1)
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:total], dtype=np.uint64)])
         self._end_of = np.repeat(self.ends, lengths)
@@ -115,7 +117,7 @@ def _exchange(sent: DataFrame, wide: bool) -> DataFrame:
         out = []
         for chunk, kind, hashes in rows:
             if kind in (ONCE, AGAIN):
-                found = hashes[np.isin(hashes, again)]
+                found = hashes[among(hashes, again)]
                 if len(found):
                     out.append((part, chunk, FOUND, found))
         return pa.Table.from_batches([_rows(out)])
@@ -128,7 +130,7 @@ def _found(table: pa.Table, dtype: str) -> dict[int, np.ndarray]:
     for p, k, h in zip(table["part"].to_pylist(), table["kind"].to_pylist(), table["hashes"].to_pylist(), strict=True):
         if k == FOUND:
             out.setdefault(p, []).append(np.frombuffer(h, dtype))
-    return {p: np.concatenate(h) for p, h in out.items()}
+    return {p: np.sort(np.concatenate(h)) for p, h in out.items()}
 
 
 def _member(hashes: np.ndarray, found: dict[int, np.ndarray], parts: int, dtype: str) -> np.ndarray:
@@ -139,7 +141,7 @@ def _member(hashes: np.ndarray, found: dict[int, np.ndarray], parts: int, dtype:
     numbers, groups = groups_of(part[order], order)
     for p, rows in zip(numbers.tolist(), groups, strict=True):
         if p in found:
-            out[rows] = np.isin(key[rows], found[p])
+            out[rows] = among(key[rows], found[p])
     return out
 
 
