@@ -186,7 +186,7 @@ def test_language_model_of_nothing(make):
 
 
 def small_model():
-    vocabulary = gru_lm.Vocabulary(1000, 300, 10, np.arange(60, dtype=np.uint64) * 7919, np.arange(60, 0, -1))
+    vocabulary = gru_lm.Vocabulary(2000, 300, 10, np.arange(60, dtype=np.uint64) * 7919, np.arange(60, 0, -1))
     rng = np.random.default_rng(0)
     return vocabulary, [(w + rng.normal(0, 0.1, w.shape)).astype(np.float32) for w in vocabulary.start()]
 
