@@ -129,7 +129,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id || '.txt' AS file_name, '/archive/' || source || '/' || doc_id || '.txt' AS file_path,
-       doc_id || '.txt' AS main_folder, source AS parent_folder, source AS relative_folder,
+       '' AS main_folder, source AS parent_folder, source AS relative_folder,
        source AS component_name, TRUE AS type_is_known, TRUE AS confidence_in_range, TRUE AS flag_follows
     FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, source FROM documents)"""
 )
