@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from foliomill.llm.common import load_file, new_folder, save_file, slices
 from foliomill.session import written
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def save_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -55,7 +55,7 @@ def load_chunk(path: str) -> pa.Table:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

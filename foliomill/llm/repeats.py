@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,18 +53,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """The words of some documents and the hashes of their windows."""
+    """The hashes of the words of some documents, end to end, and of their windows. Words
+    themselves are not kept: they take ten times the memory of their text."""
 
     def __init__(self, texts: list[str | None], shortest: int) -> None:
-        self.words = [words_of(t) for t in texts]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        used = [i for i, w in enumerate(self.words) if len(w) >= shortest]
-        self.used, lengths = used, self.sizes[used]
+        sizes, parts, self.used = [], [np.zeros(0, np.uint64)], []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            sizes.append(len(words))
+            if len(words) >= shortest:
+                self.used.append(i)
+                parts.append(np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words)))
+        self.sizes = np.array(sizes, np.int64)
+        lengths = self.sizes[self.used]
         total = int(lengths.sum())
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
-        every = chain.from_iterable([self.words[i] for i in used])
-        hashes = np.fromiter(map(WORD_HASHES.__getitem__, every), np.uint64, total)
+        hashes = np.concatenate(parts)
         power, self._inverse = _powers(total + 1)
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[:total], dtype=np.uint64)])
         self._end_of = np.repeat(self.ends, lengths)
@@ -213,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, columns: tuple[str, ..
             left = keep[a:b]
             if not left.all():
                 removed[i] = int((~left).sum())
-                texts[i] = b" ".join([w for w, k in zip(chunk.words[i], left.tolist(), strict=True) if k]).decode()
+                texts[i] = b" ".join([w for w, k in zip(words_of(texts[i]), left.tolist(), strict=True) if k]).decode()
         out = rows.drop_columns(["text"])
         for name, values in (("n_words", pa.array(chunk.sizes)), ("n_removed", pa.array(removed)), ("kept", pa.array(texts, pa.string()))):
             out = out.append_column(name, values)
