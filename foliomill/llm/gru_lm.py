@@ -124,15 +124,21 @@ def _rows_by_part(values: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]
     return list(zip(numbers.tolist(), np.split(order, first[1:]), strict=True)) if len(numbers) else []
 
 
+def _most_frequent(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The HEAD most frequent words of several lists, ties to the smaller hash."""
+    h = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in hashes)])
+    n = np.concatenate([np.zeros(0, "<i8"), *(np.frombuffer(x, "<i8") for x in counts)])
+    top = np.lexsort((h, -n))[:HEAD]
+    return h[top], n[top]
+
+
 def _head(counts: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Training words and distinct words, and the most frequent words with their counts."""
+    """Training words and distinct words, and the most frequent words with their counts. The
+    parts' own lists are merged in groups first, so the driver gets 64 lists at most."""
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], ["hash", "n"]
-                )
+    def merge(table: pa.Table) -> pa.Table:
+        h, n = _most_frequent(table["hashes"].to_pylist(), table["counts"].to_pylist())
+        return pa.table({"hashes": pa.array([h.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +146,9 @@ def _head(counts: DataFrame) -> tuple[int, int, np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(both[:1]), pa.array(both[1:])], ["n", "v"])
 
     n, v = counts.filter("chunk = 'sums'").mapInArrow(sums, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    top = counts.filter("chunk = 'top'").mapInArrow(flat, "hash long, n long").orderBy(F.desc("n"), "hash").limit(HEAD).collect()
-    return n or 0, v or 0, np.array([r.hash for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
+    lists = counts.filter("chunk = 'top'").select((F.col("part") % 64).alias("g"), "hashes", "counts")
+    merged = lists.groupBy("g").applyInArrow(merge, "hashes binary, counts binary").collect()
+    return n or 0, v or 0, *_most_frequent([r.hashes for r in merged], [r.counts for r in merged])
 
 
 class Vocabulary:
@@ -204,6 +211,36 @@ def _steps(table: np.ndarray, u: np.ndarray, inputs: np.ndarray, h: np.ndarray,
     return out
 
 
+def _states(weights: list[np.ndarray]):
+    """As ``_steps`` without a trace and with fewer passes: gates and new states have contiguous
+    arrays of their own, and a sigmoid is the tanh of the halved input, halved and shifted."""
+    emb, wx, b, u = weights[:4]
+    table = emb @ wx + b
+    to_gates, to_new = np.ascontiguousarray(table[:, : 2 * STATE]) * 0.5, np.ascontiguousarray(table[:, 2 * STATE :])
+    u_gates, u_new = np.ascontiguousarray(u[:, : 2 * STATE]) * 0.5, np.ascontiguousarray(u[:, 2 * STATE :])
+
+    def run(inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
+        out = np.empty((*inputs.shape, STATE), np.float32)
+        for t, tokens in enumerate(inputs):
+            gates = to_gates.take(tokens, axis=0)
+            gates += h @ u_gates
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            new = h @ u_new
+            new *= gates[:, :STATE]
+            new += to_new.take(tokens, axis=0)
+            np.tanh(new, out=new)
+            after = out[t]
+            np.subtract(h, new, out=after)
+            after *= gates[:, STATE:]
+            after += new
+            h = after
+        return out
+
+    return run
+
+
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=1, keepdims=True)
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
@@ -219,11 +256,18 @@ def _class_rows(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
 def log_probabilities(weights: list[np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logs, of class and then of word within its class."""
     _, _, _, _, cw, cb, ww, wb = weights
-    out = _log_softmax(states @ cw + cb)[np.arange(len(targets)), targets // CLASS]
+
+    def chosen(x: np.ndarray, which: np.ndarray) -> np.ndarray:
+        own = x[np.arange(len(which)), which]
+        top = x.max() if len(x) else 0.0  # one for all rows: their logits are of one size
+        x -= top
+        np.exp(x, out=x)
+        return own - top - np.log(x @ np.ones(x.shape[1], x.dtype))
+
+    out = chosen(states @ cw + cb, targets // CLASS)
     for c, rows in _class_rows(targets):
         span = slice(c * CLASS, (c + 1) * CLASS)
-        inside = _log_softmax(states[rows] @ ww[span].T + wb[span])
-        out[rows] += inside[np.arange(len(rows)), targets[rows] - c * CLASS]
+        out[rows] += chosen(states[rows] @ ww[span].T + wb[span], targets[rows] - c * CLASS)
     return out
 
 
@@ -269,9 +313,9 @@ def gradients(weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray) -> t
     dx = dx.reshape(-1, 3 * STATE)
     grads[2] = dx.sum(axis=0)
     # the input part is a row of emb @ wx, so sum by token first
-    seen, where = np.unique(inputs, return_inverse=True)
-    by_token = np.zeros((len(seen), 3 * STATE), np.float32)
-    np.add.at(by_token, where.ravel(), dx)
+    order = np.argsort(inputs, axis=None, kind="stable")
+    seen, first = np.unique(inputs.ravel()[order], return_index=True)
+    by_token = np.add.reduceat(dx[order], first, axis=0)
     grads[1] = emb[seen].T @ by_token
     grads[0][seen] = by_token @ wx.T
     return loss / n, grads, states[-1]
@@ -298,24 +342,27 @@ def train_locally(weights: list[np.ndarray], segments: np.ndarray, rate: float,
 
 def _segments(chunks: DataFrame, vocabulary, share: int) -> DataFrame:
     """(key, ids): segments of training documents with the token before them. Which ones is
-    decided by a hash of their tokens, so every document and place has the same chance."""
+    decided by a hash of document, row and place, so all have the same chance and copies spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch["chunk"].to_pylist():
-                chunk = Chunk(load_chunk(path))
-                numbers, keys, out = vocabulary.value.numbers(chunk.hashes), [], []
-                for size, end, held in zip(chunk.sizes.tolist(), chunk.ends.tolist(), chunk.held_out.tolist(), strict=True):
-                    if held:
+                table, keys, out = load_chunk(path), [], []
+                for row, (doc_id, text) in enumerate(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)):
+                    if is_held_out(doc_id):
                         continue
-                    ids = np.concatenate([[END], numbers[end - size : end], [END]]).astype("<u2")
-                    for at in range(0, size + 1, SEGMENT):
-                        own = ids[at : at + SEGMENT + 1]
-                        key = zlib.crc32(chunk.hashes[max(end - size, end - size + at - 1) : min(end, end - size + at + SEGMENT)].tobytes())
-                        if key % share == 0:
-                            # a short last segment is filled up with ends
-                            out.append(np.concatenate([own, np.full(SEGMENT + 1 - len(own), END, "<u2")]).tobytes())
-                            keys.append(key)
+                    words = lower_words_of(text)
+                    for at in range(0, len(words) + 1, SEGMENT):
+                        key = zlib.crc32(f"{doc_id} {row} {at}".encode())
+                        if key % share:
+                            continue
+                        own = words[max(at - 1, 0) : at + SEGMENT]
+                        numbers = vocabulary.value.numbers(np.array([WORD_HASHES[w] for w in own], np.uint64))
+                        # what lies before the text and after it is an end, also all that fills up a short segment
+                        ids = np.full(SEGMENT + 1, END, "<u2")
+                        ids[at == 0 : len(own) + (at == 0)] = numbers
+                        out.append(ids.tobytes())
+                        keys.append(key)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "ids"])
 
     spread = chunks.select("chunk").repartition(max(1, min(chunks.count(), 100_000)), "chunk")
@@ -372,9 +419,7 @@ def train(segments: DataFrame, weights: list[np.ndarray], rounds: int = ROUNDS)
 def document_scores(weights: list[np.ndarray], documents: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural log probability of each document (numbers with the end), run window by window
     from a zero state and an end before the first token."""
-    emb, wx, b, u = weights[:4]
-    table = emb @ wx + b
-    out = np.zeros(len(documents))
+    run, out = _states(weights), np.zeros(len(documents))
     order = np.argsort([-len(d) for d in documents], kind="stable")
     for first in range(0, len(order), lanes):
         rows = order[first : first + lanes]
@@ -386,7 +431,7 @@ def document_scores(weights: list[np.ndarray], documents: list[np.ndarray], lane
         for at in range(0, int(lengths[0]), WINDOW):
             live = int((lengths > at).sum())  # the longest come first
             part = tokens[at : at + WINDOW + 1, :live]
-            states = _steps(table, u, part[:-1], h[:live])
+            states = run(part[:-1], h[:live])
             h = states[-1]
             real = np.arange(at, at + len(part) - 1)[:, None] < lengths[None, :live]
             lane = np.broadcast_to(np.arange(live), real.shape)[real]
