@@ -28,7 +28,3 @@ def hash_int(digest: Column, start: int = 1) -> Column:
 
 def unit_interval(digest: Column, start: int = 1) -> Column:
     return hash_int(digest, start) / F.lit(float(1 << 32))
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
