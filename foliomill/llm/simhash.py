@@ -178,7 +178,8 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFr
         F.xxhash64("text").alias("own_digest"),
     )
     match = F.col("own_id").eqNullSafe(F.col("winner")) & (F.col("own_digest") == F.col("winner_digest"))
-    kept = keyed.join(winners, match, "left_semi")
+    # Merged, not sent: winners are nearly as many as the documents.
+    kept = keyed.join(winners.hint("merge"), match, "left_semi")
     if again:  # rows that no column tells apart
         packed = F.struct(*names).alias("row")
         kept = kept.groupBy("own_id", "own_digest").agg(F.first(packed).alias("row")).select("row.*")
