@@ -10,7 +10,8 @@ untrained model gives the base score.
 Training is truncated backpropagation: segments of training documents are run
 window by window with the state carried on, gradients stop at the window. Spark
 tasks train on their segments from the same start, and their weights are averaged,
-for a few rounds. Scoring runs each document from its first to its last token and
+for a few rounds; a round takes its share of the segments, so all are trained on
+once. Scoring runs each document from its first to its last token and
 carries the state across windows.
 """
 
@@ -37,7 +38,7 @@ STATE = 32
 EMBEDDING = 16
 WINDOW = 32  # steps that gradients go back
 SEGMENT = 4 * WINDOW
-SHARE = 16  # one in so many segments of every training document is trained on
+SHARE = 1  # one in so many segments of the training documents is trained on
 ROUNDS = 3
 TASK_TOKENS = 1 << 20
 TASKS = 1024
@@ -271,6 +272,18 @@ def log_probabilities(weights: list[np.ndarray], states: np.ndarray, targets: np
     return out
 
 
+def _output_error(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+    """Loss of the chosen outputs, and the gradient of the loss per token by the logits."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[rows, chosen]
+    d = np.exp(logits, out=logits)
+    total = d.sum(axis=1)
+    loss = float((np.log(total) - own).sum())
+    d *= (1 / (total * n))[:, None].astype(np.float32)
+    d[rows, chosen] -= np.float32(1 / n)
+    return loss, d
+
+
 def gradients(weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
     """Loss per token, gradients and last state over one window of (steps + 1, lanes) tokens."""
     emb, wx, b, u, cw, cb, ww, wb = weights
@@ -279,38 +292,45 @@ def gradients(weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray) -> t
     states = _steps(emb @ wx + b, u, inputs, h, trace)
     flat, n = states.reshape(-1, STATE), len(targets)
     grads = [np.zeros_like(w) for w in weights]
-    logp = _log_softmax(flat @ cw + cb)
+    # rows lie by class, so that a class is a slice
+    own_class = targets // CLASS
+    by_class = np.argsort(own_class, kind="stable")
+    classes, first = np.unique(own_class[by_class], return_index=True)
+    flat, place, own_class = flat[by_class], targets[by_class] % CLASS, own_class[by_class]
     rows = np.arange(n)
-    loss = -float(logp[rows, targets // CLASS].sum())
-    d = np.exp(logp)
-    d[rows, targets // CLASS] -= 1
-    d /= n
+    loss, d = _output_error(flat @ cw + cb, rows, own_class, n)
     grads[4], grads[5] = flat.T @ d, d.sum(axis=0)
-    dstates = d @ cw.T
-    for c, own in _class_rows(targets):
-        span = slice(c * CLASS, (c + 1) * CLASS)
-        logq = _log_softmax(flat[own] @ ww[span].T + wb[span])
-        place = targets[own] - c * CLASS
-        loss -= float(logq[np.arange(len(own)), place].sum())
-        d = np.exp(logq)
-        d[np.arange(len(own)), place] -= 1
-        d /= n
-        grads[6][span], grads[7][span] = d.T @ flat[own], d.sum(axis=0)
-        dstates[own] += d @ ww[span]
+    dflat = d @ cw.T
+    logits = np.empty((n, CLASS), np.float32)
+    cuts = [*first.tolist(), n]
+    parts = [(slice(c * CLASS, (c + 1) * CLASS), slice(a, b)) for c, a, b in zip(classes.tolist(), cuts, cuts[1:], strict=False)]
+    for span, own in parts:
+        np.matmul(flat[own], ww[span].T, out=logits[own])
+    logits += wb.reshape(-1, CLASS)[own_class]
+    more, d = _output_error(logits, rows, place, n)
+    loss += more
+    for span, own in parts:
+        np.matmul(d[own].T, flat[own], out=grads[6][span])
+        dflat[own] += d[own] @ ww[span]
+    grads[7].reshape(-1, CLASS)[classes] = np.add.reduceat(d, first, axis=0)
+    dstates = np.empty_like(dflat)
+    dstates[by_class] = dflat
     dstates = dstates.reshape(states.shape)
-    dx = np.empty((*inputs.shape, 3 * STATE), np.float32)
+    before, reset, keep, new, recurrent = (np.stack(x) for x in zip(*trace, strict=True))
+    # what multiplies the state's gradient, for all steps at once
+    to_new = (1 - keep) * (1 - new * new)
+    to_keep = (before - new) * keep * (1 - keep)
+    to_reset = to_new * recurrent * reset * (1 - reset)
+    factors = np.concatenate([to_reset, to_keep, to_new * reset], axis=2)
+    dr, dstate, back = np.empty_like(factors), np.empty_like(states), np.ascontiguousarray(u.T)
     dh = np.zeros_like(h)
     for t in range(len(inputs) - 1, -1, -1):
-        before, reset, keep, new, recurrent = trace[t]
-        dh = dh + dstates[t]
-        dnew = dh * (1 - keep) * (1 - new * new)
-        dkeep = dh * (before - new) * keep * (1 - keep)
-        dreset = dnew * recurrent * reset * (1 - reset)
-        dx[t] = np.hstack([dreset, dkeep, dnew])
-        dr = np.hstack([dreset, dkeep, dnew * reset])
-        grads[3] += before.T @ dr
-        dh = dh * keep + dr @ u.T
-    dx = dx.reshape(-1, 3 * STATE)
+        dh = np.add(dh, dstates[t], out=dstate[t])
+        np.multiply(factors[t].reshape(-1, 3, STATE), dh[:, None, :], out=dr[t].reshape(-1, 3, STATE))
+        dh = dh * keep[t] + dr[t] @ back
+    grads[3] = before.reshape(-1, STATE).T @ dr.reshape(-1, 3 * STATE)
+    dr[:, :, 2 * STATE :] = to_new * dstate  # the input part of a new state isn't reset
+    dx = dr.reshape(-1, 3 * STATE)
     grads[2] = dx.sum(axis=0)
     # the input part is a row of emb @ wx, so sum by token first
     order = np.argsort(inputs, axis=None, kind="stable")
@@ -382,10 +402,10 @@ def _unpacked(content: bytes, like: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def train(segments: DataFrame, weights: list[np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Rounds of local training and averaging. Tasks hold about TASK_TOKENS tokens, more where
+    """Rounds of local training and averaging, each over its own share of the segments. Tasks hold about TASK_TOKENS tokens, more where
     there would be over TASKS of them; averages are made in two levels, so the driver gets 32 at most."""
     spark = segments.sparkSession
-    n = segments.count()
+    n = -(-segments.count() // rounds)
     tasks = min(TASKS, max(1, -(-n * SEGMENT // TASK_TOKENS)))
     for r in range(rounds if n else 0):
         start, rate = spark.sparkContext.broadcast(weights), 0.01 * 0.5**r
@@ -408,9 +428,12 @@ def train(segments: DataFrame, weights: list[np.ndarray], rounds: int = ROUNDS)
             )
 
         schema = "g int, n long, weights binary"
-        dealt = segments.repartition(tasks, F.col("key") * 31 + r).sortWithinPartitions("key", "ids")
+        dealt = segments.filter(F.pmod(F.xxhash64("key"), F.lit(rounds)) == r)
+        dealt = dealt.repartition(tasks, F.col("key") * 31 + r).sortWithinPartitions("key", "ids")
         groups = dealt.mapInArrow(local, schema).groupBy("g").applyInArrow(average, schema).collect()
         total = sum(g.n for g in groups)
+        if not total:  # few segments, none of them in this round
+            continue
         flat = sum(np.frombuffer(g.weights, "<f4").astype(np.float64) * g.n for g in sorted(groups, key=lambda g: g.g)) / total
         weights = _unpacked(flat.astype("<f4").tobytes(), weights)
     return weights

@@ -241,3 +241,20 @@ def test_pipeline_stages(spark, odd, sample):
         assert all(r.n_chars == len(r.text or "") for r in cut.collect() if "n_chars" in r)
         pieces = stages["packing"](spark, cut, "")
         assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in cut.collect()}
+
+
+def test_language_model_trains_on_every_segment_by_default(spark, sample, monkeypatch):
+    trained = []
+    train = gru_lm.train
+    monkeypatch.setattr(gru_lm, "train", lambda segments, *a: trained.append(segments.collect()) or train(segments, *a))
+    scored = [r for r in gru_lm.score(sample).collect() if r.held_out]
+    assert sum(r.score for r in scored) > sum(r.base_score for r in scored)
+    sizes = [len(lower(r.text)) for r in sample.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    assert len(trained[0]) == sum(n // gru_lm.SEGMENT + 1 for n in sizes)
+
+
+def test_every_segment_is_in_one_round(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "train_locally", lambda weights, segments, rate: [weights[0] + len(segments)])
+    rows = [(k, np.full(gru_lm.SEGMENT + 1, k, "<u2").tobytes()) for k in range(90)]
+    segments = spark.createDataFrame(rows, "key bigint, ids binary").repartition(1)
+    assert gru_lm.train(segments, [np.zeros(2, np.float32)])[0].tolist() == [90, 90]
