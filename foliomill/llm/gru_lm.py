@@ -44,6 +44,7 @@ TASK_TOKENS = 1 << 20
 TASKS = 1024
 LANES = 512
 END, UNK = 0, 1
+FILLER = 0xFFFF  # what follows the text's end in a short segment
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -284,19 +285,24 @@ def _output_error(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray, n: i
     return loss, d
 
 
-def gradients(weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
-    """Loss per token, gradients and last state over one window of (steps + 1, lanes) tokens."""
+def gradients(
+    weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray, real: np.ndarray | None = None
+) -> tuple[float, list[np.ndarray], np.ndarray]:
+    """Loss per token, gradients and last state over one window of (steps + 1, lanes) tokens.
+    Only targets where ``real`` (steps, lanes) holds count, all without it."""
     emb, wx, b, u, cw, cb, ww, wb = weights
     inputs, targets = tokens[:-1], tokens[1:].ravel().astype(np.int64)
     trace: list = []
     states = _steps(emb @ wx + b, u, inputs, h, trace)
-    flat, n = states.reshape(-1, STATE), len(targets)
+    counted = np.arange(len(targets)) if real is None else np.flatnonzero(real)
+    targets, n = targets[counted], len(counted)
     grads = [np.zeros_like(w) for w in weights]
     # rows lie by class, so that a class is a slice
     own_class = targets // CLASS
     by_class = np.argsort(own_class, kind="stable")
     classes, first = np.unique(own_class[by_class], return_index=True)
-    flat, place, own_class = flat[by_class], targets[by_class] % CLASS, own_class[by_class]
+    counted = counted[by_class]
+    flat, place, own_class = states.reshape(-1, STATE)[counted], targets[by_class] % CLASS, own_class[by_class]
     rows = np.arange(n)
     loss, d = _output_error(flat @ cw + cb, rows, own_class, n)
     grads[4], grads[5] = flat.T @ d, d.sum(axis=0)
@@ -313,9 +319,8 @@ def gradients(weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray) -> t
         np.matmul(d[own].T, flat[own], out=grads[6][span])
         dflat[own] += d[own] @ ww[span]
     grads[7].reshape(-1, CLASS)[classes] = np.add.reduceat(d, first, axis=0)
-    dstates = np.empty_like(dflat)
-    dstates[by_class] = dflat
-    dstates = dstates.reshape(states.shape)
+    dstates = np.zeros_like(states)
+    dstates.reshape(-1, STATE)[counted] = dflat
     before, reset, keep, new, recurrent = (np.stack(x) for x in zip(*trace, strict=True))
     # what multiplies the state's gradient, for all steps at once
     to_new = (1 - keep) * (1 - new * new)
@@ -347,9 +352,16 @@ def train_locally(weights: list[np.ndarray], segments: np.ndarray, rate: float,
     m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
     for at in range(0, len(segments), lanes):
         batch = segments[at : at + lanes].T.astype(np.int64)
+        lengths = (batch != FILLER).sum(axis=0) - 1
+        order = np.argsort(-lengths, kind="stable")
+        batch, lengths = np.ascontiguousarray(batch[:, order]), lengths[order]
+        real = batch != FILLER
+        batch[~real] = END
         h = np.zeros((batch.shape[1], STATE), np.float32)
-        for w0 in range(0, SEGMENT, WINDOW):
-            _, grads, h = gradients(weights, batch[w0 : w0 + WINDOW + 1], h)
+        for w0 in range(0, int(lengths[0]), WINDOW):
+            live = int((lengths > w0).sum())  # the longest come first
+            window = slice(w0, w0 + WINDOW + 1)
+            _, grads, h = gradients(weights, batch[window, :live], h[:live], real[window, :live][1:])
             norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
             scale, step = min(1.0, 1.0 / (norm + 1e-9)), step + 1
             for i, g in enumerate(grads):
@@ -378,9 +390,11 @@ def _segments(chunks: DataFrame, vocabulary, share: int) -> DataFrame:
                             continue
                         own = words[max(at - 1, 0) : at + SEGMENT]
                         numbers = vocabulary.value.numbers(np.array([WORD_HASHES[w] for w in own], np.uint64))
-                        # what lies before the text and after it is an end, also all that fills up a short segment
-                        ids = np.full(SEGMENT + 1, END, "<u2")
+                        # what lies before the text and after it is an end; filler takes up the rest of a short segment
+                        ids = np.full(SEGMENT + 2, FILLER, "<u2")
+                        ids[0] = ids[len(own) + (at == 0)] = END
                         ids[at == 0 : len(own) + (at == 0)] = numbers
+                        ids = ids[: SEGMENT + 1]
                         out.append(ids.tobytes())
                         keys.append(key)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "ids"])

@@ -258,3 +258,22 @@ def test_every_segment_is_in_one_round(spark, monkeypatch):
     rows = [(k, np.full(gru_lm.SEGMENT + 1, k, "<u2").tobytes()) for k in range(90)]
     segments = spark.createDataFrame(rows, "key bigint, ids binary").repartition(1)
     assert gru_lm.train(segments, [np.zeros(2, np.float32)])[0].tolist() == [90, 90]
+
+
+def test_filler_is_no_target(spark, make):
+    _, weights = small_model()
+    rng = np.random.default_rng(5)
+    tokens, h = rng.integers(0, 62, (9, 5)), rng.normal(0, 0.3, (5, gru_lm.STATE)).astype(np.float32)
+    longer = np.vstack([tokens, np.zeros((4, 5), int)])
+    real = np.arange(12)[:, None].repeat(5, 1) < 8
+    loss, grads, _ = gru_lm.gradients(weights, tokens, h)
+    masked, same, _ = gru_lm.gradients(weights, longer, h, real)
+    assert masked == pytest.approx(loss, rel=1e-5)
+    for a, b in zip(grads, same, strict=True):
+        assert a == pytest.approx(b, abs=1e-5)
+    chunks = gru_lm.save_chunks(make([(None, "a b", "x"), (3, None, "x")]).select("doc_id", "text"), 1 << 20)
+    vocabulary = spark.sparkContext.broadcast(gru_lm.Vocabulary(2, 2, 2, np.zeros(0, "<u8"), np.zeros(0, int)))
+    held = [[gru_lm.END, gru_lm.UNK, gru_lm.UNK, gru_lm.END], [gru_lm.END, gru_lm.END]]
+    got = sorted((np.frombuffer(r.ids, "<u2").tolist() for r in gru_lm._segments(chunks, vocabulary, 1).collect()), reverse=True)
+    filled = [x + [gru_lm.FILLER] * (gru_lm.SEGMENT + 1 - len(x)) for x in held]
+    assert got == sorted(filled, reverse=True)
