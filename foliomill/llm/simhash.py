@@ -30,11 +30,11 @@ RADIUS = 3
 BUCKET = 4096
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """Majority bits of the hashes of all ``width``-word shingles, repeats included."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of all ``width``-word shingles, repeats included; all words where there are fewer."""
     words = lower_words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -43,7 +43,14 @@ def fingerprint(text: str | None, width: int) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     hashed = xxhash.xxh64_intdigest
-    hashes = np.array([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+    return np.array([hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """Majority bits of the hashes of all ``width``-word shingles, repeats included."""
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
+        return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
@@ -164,7 +171,12 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFr
     """The rows of ``docs`` without near copies, with all their columns: of each group the row of
     the smallest doc_id stays, of rows with that id too the one whose text hashes lowest, and of
     equal rows one. A null doc_id stays only where no other is in the group."""
-    rows, groups = _grouped(docs, width, radius)
+    return keep_first(docs, *_grouped(docs, width, radius))
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The picks of ``one_of_each``: ``rows`` (doc_id, digest, fp) are grouped by the component that
+    ``groups`` (of, component) has for their fp, else by fp."""
     joined = rows.join(groups, F.col("fp") == F.col("of"), "left").select(
         "doc_id", "digest", F.coalesce("component", "fp").alias("group"), F.isnull("doc_id").alias("no_id")
     )

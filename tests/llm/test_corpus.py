@@ -277,3 +277,34 @@ def test_filler_is_no_target(spark, make):
     got = sorted((np.frombuffer(r.ids, "<u2").tolist() for r in gru_lm._segments(chunks, vocabulary, 1).collect()), reverse=True)
     filled = [x + [gru_lm.FILLER] * (gru_lm.SEGMENT + 1 - len(x)) for x in held]
     assert got == sorted(filled, reverse=True)
+
+
+def test_near_dedup_stage_equals_brute_force(spark, make, sample, odd, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in range(60):  # copies with 1 to 3 words changed: similarities from 0.7 to 0.95
+        base = [f"g{g}w{k}" for k in rng.integers(0, 10_000, 100)]
+        rows.append((3 * g, " ".join(base), "a"))
+        for c in (1, 2):
+            copy = list(base)
+            for at in rng.choice(100, rng.integers(1, 4), replace=False):
+                copy[at] = f"x{g}-{c}-{at}"
+            rows.append((3 * g + c, " ".join(copy), "a"))
+    for docs in (make(rows), sample, odd):
+        got = docs.collect()
+        sets = []
+        for r in got:
+            w = lower(r.text)
+            sets.append(frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)] if w else []))
+        every = sorted(set(sets), key=sorted)
+        links = [
+            (i, j) for i, x in enumerate(every) for j in range(i)
+            if min(len(x), len(y := every[j])) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y)
+        ]
+        group = roots(range(len(every)), links)
+        number, least = {s: i for i, s in enumerate(every)}, {}
+        for r, s in zip(got, sets, strict=True):
+            key = (r.doc_id is None, r.doc_id or 0)
+            least[group[number[s]]] = min(key, least.get(group[number[s]], key))
+        kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, "").collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(least.values())
