@@ -3,8 +3,11 @@
 Whole windows of a document stand alone. What is left of each document (less than
 a window) is packed: a seed's window is filled with the unused remainders that
 BM25 ranks highest for it, the last one cut so that the window is full. The
-inverted index is sharded: rows are dealt to shards of about ``shard_rows`` and
-each shard's index lives in one task. Document frequencies and the mean length
+inverted index is sharded: rows are ordered by content, cut into shards of about
+``shard_rows``, and each shard's index lives in one task. The order is that of a
+few terms drawn from each remainder by weight (its idf) with the same random number
+for a term everywhere, so remainders that share rare terms tend to lie side by
+side, however many shards there are. Document frequencies and the mean length
 are those of all remainders; terms are token ids, so their table is bounded by
 the vocabulary. What a shard has left at its end is cut into sequences whose
 lengths are powers of two, which need no padding.
@@ -25,6 +28,7 @@ from foliomill.llm.tokens import SegmentEncoder
 from foliomill.session import written
 
 K1, B = 1.2, 0.75
+KEYS = 4  # terms that order a remainder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -85,6 +89,22 @@ def term_statistics(rests: DataFrame, vocabulary: int) -> tuple[np.ndarray, int,
     return df, rows, tokens / max(1, rows)
 
 
+def draws(vocabulary: int, df: np.ndarray, rows: int) -> np.ndarray:
+    """For each term an exponential number of rate idf. The least of a document's terms is a draw by
+    weight that documents with common terms share; a term of a single document comes after all others."""
+    idf = np.log1p((rows - df + 0.5) / (df + 0.5))
+    number = np.random.default_rng(17).exponential(size=vocabulary) / np.maximum(idf, 1e-12)
+    return np.where(df > 1, number, np.inf)
+
+
+def order_terms(ids: np.ndarray, drawn: np.ndarray) -> list[int]:
+    """The KEYS terms drawn first, -1 where there are none left."""
+    terms = np.unique(ids)
+    terms = terms[np.argsort(drawn[terms], kind="stable")[:KEYS]]
+    found = terms[np.isfinite(drawn[terms])].tolist()
+    return found + [-1] * (KEYS - len(found))
+
+
 class ShardIndex:
     """BM25 over the remainders of one shard."""
 
@@ -172,9 +192,9 @@ def pack(
     """A row per piece of a document: where it lies in its document and in its sequence.
 
     Every token is in one piece; a null text is empty and has just the end id; null and
-    repeated ids and rows are documents of their own. Shards are dealt by row number, so
-    no key or group of copies can make one large, and a shard holds under ``shard_rows``
-    windows of ids, give or take. Whole windows get even sequence ids, shards odd ones.
+    repeated ids and rows are documents of their own. Shards are ranges of the order by
+    content and then by row number, so no key or group of copies can make one large, and a
+    shard holds about ``shard_rows`` remainders. Whole windows get even sequence ids, shards odd ones.
     """
     rows = written(tokenised(docs, encoder, end_id, window), "pack-tokens")
     df, n_rows, mean = term_statistics(rows, vocabulary)
@@ -190,27 +210,47 @@ def pack(
     shards = max(1, -(-n_rows // shard_rows))
     spark = docs.sparkSession
     statistics = spark.sparkContext.broadcast((df, n_rows, mean))  # a number per vocabulary entry
-    remainders = (
-        rows.filter(F.octet_length("rest") > 0)
-        .select("doc_id", "doc_tokens", "rest", F.monotonically_increasing_id().alias("row"))
-        .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    )
+    numbered = rows.filter(F.octet_length("rest") > 0).select("doc_id", "doc_tokens", "rest", F.monotonically_increasing_id().alias("row"))
 
-    def shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row")
-        number = table["shard"][0].as_py()
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn = draws(vocabulary, *statistics.value[:2])
+        for batch in batches:
+            keys = np.array([order_terms(np.frombuffer(x, "<u2"), drawn) for x in batch["rest"].to_pylist()], np.int32).reshape(-1, KEYS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(k) for k in keys.T)], [*batch.schema.names, *names])
+
+    names = [f"k{i}" for i in range(KEYS)]
+    schema = "doc_id long, doc_tokens long, rest binary, row long, " + ", ".join(f"{k} int" for k in names)
+    # written, as the ranges are sampled first
+    ordered = written(numbered.mapInArrow(order, schema), "pack-order")
+    remainders = ordered.repartitionByRange(shards, *names, "row")
+
+    def shard(table: pa.Table, number: int, first: int) -> list[tuple]:
         ids = [np.frombuffer(x, "<u2") for x in table["rest"].to_pylist()]
         doc_ids, totals = table["doc_id"].to_pylist(), table["doc_tokens"].to_pylist()
         sequences = fill_windows(ShardIndex(ids, *statistics.value), [len(x) for x in ids], window)
         out = []
-        for k, pieces in enumerate(sequences):
+        for k, pieces in enumerate(sequences, first):
             offset = 0
             for i, start, length in pieces:
                 base = totals[i] - len(ids[i])
                 out.append((doc_ids[i], base + start, length, _crc(ids[i][start : start + length]), totals[i], (number << 24 | k) * 2 + 1, offset))
                 offset += length
-        columns = list(zip(*out, strict=True))
-        names = [c.split()[0] for c in PIECES.split(", ")]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+        return out
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        if table is None or not table.num_rows:
+            return
+        table = table.sort_by([(k, "ascending") for k in [*names, "row"]])
+        number, first = TaskContext.get().partitionId(), 0
+        cuts = max(1, round(table.num_rows / shard_rows))  # ranges are sampled, so one can be larger
+        for part in np.array_split(np.arange(table.num_rows), cuts):
+            out = shard(table.slice(part[0], len(part)), number, first)
+            first = (out[-1][5] >> 1 & (1 << 24) - 1) + 1
+            fields = [c.split()[0] for c in PIECES.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], fields)
 
-    return whole.unionByName(remainders.groupBy("shard").applyInArrow(shard, PIECES))
+    return whole.unionByName(remainders.mapInArrow(fill, PIECES))

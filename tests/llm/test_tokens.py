@@ -160,3 +160,21 @@ def test_empty_tables(make):
     assert sp_bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
     files = token_files.write_token_files(none, lambda: word_end_encoder(WORD), 2, 2)
     assert token_files.read_token_files(files).count() == 0
+
+
+def test_packing_finds_neighbours_in_many_shards(make):
+    rng = np.random.default_rng(6)
+    rows = []
+    for pair in range(300):
+        own = [f"n{w}" for w in rng.integers(0, 100_000, 12)]
+        for copy in (0, 1):
+            rows.append((2 * pair + copy, " ".join([*own, *(f"c{w}" for w in rng.integers(0, 50, 4))]), "a"))
+    rng.shuffle(rows)
+    docs = make([(int(i), t, s) for i, t, s in rows])
+    found = {}
+    for shard_rows in (600, 20):
+        sequences = {}
+        for r in packing.pack(docs, lambda: byte_level_encoder(BYTE, P.PATTERN), 0, 50_257, 256, shard_rows).collect():
+            sequences.setdefault(r.sequence_id, set()).add(r.doc_id)
+        found[shard_rows] = sum(any({2 * k, 2 * k + 1} <= s for s in sequences.values()) for k in range(300)) / 300
+    assert found[20] > 0.6 * found[600] > 0.3, found
