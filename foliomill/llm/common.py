@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -75,3 +76,19 @@ def load_file(path: str) -> bytes:
     system, place = _located(path)
     with system.open_input_stream(place, compression=None) as source:
         return source.read()
+
+
+def pack_arrays(**arrays: np.ndarray | list) -> bytes:
+    """Arrays and lists of numbers (which may hold None) as one compressed stream."""
+    columns = {k: pa.array([v], pa.list_(pa.int64())) if isinstance(v, list) else pa.array([v.tobytes()], pa.large_binary()) for k, v in arrays.items()}
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def load_arrays(path: str, **types: str) -> dict:
+    """The named arrays of a file that :func:`pack_arrays` made, by type; ``list`` gives a list."""
+    row = pa.ipc.open_stream(load_file(path)).read_all()
+    return {k: row[k][0].as_py() if t == "list" else np.frombuffer(row[k][0].as_buffer(), t) for k, t in types.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import gru_lm, host_rules, html_blocks, learned_ann, packing, repeats, simhash, sp_bpe, token_files, warc
+from foliomill.llm import alignment, ball_tree, gru_lm, host_rules, html_blocks, interleave, learned_ann, packing, repeats, simhash, sp_bpe, token_files, warc
 from foliomill.llm.tokens import byte_level_encoder, word_end_encoder
 from foliomill.plans.registry import Query
 
@@ -85,3 +85,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), lambda: word_end_encoder(path), end_id=2, partitions=partitions
     )
     return token_files.read_token_files(files)
+
+
+@query()
+def op11_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def sides() -> tuple[alignment.Side, alignment.Side]:
+        import public_tokenizers as names
+
+        return alignment.byte_and_piece_sides(names.path("byte_bpe_50k.json"), names.PATTERN, names.path("piece_bpe_32k.model"))
+
+    return alignment.aligned_documents(_table(spark, sf_dir, "documents"), sides)
+
+
+@query(ball_tree.SQL)
+def op12_sparse_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query(interleave.SQL)
+def op13_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleave.assign_shards(_table(spark, sf_dir, "documents"))

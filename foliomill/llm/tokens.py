@@ -116,6 +116,17 @@ class SegmentEncoder:
         return head + b"".join(map(self._cache.__getitem__, parts))
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id of a tokenizers file of byte-level BPE; special tokens are their text."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    special = {t["id"]: t["content"] for t in parts["added_tokens"]}
+    byte_of = {c: b for b, c in enumerate(BYTE_CHARACTERS)}
+    known = {i: bytes(map(byte_of.__getitem__, piece)) for piece, i in parts["model"]["vocab"].items() if i not in special}
+    known |= {i: content.encode() for i, content in special.items()}
+    return [known.get(i, b"") for i in range(max(known) + 1)]
+
+
 _LOADED: dict[tuple[str, str], SegmentEncoder] = {}
 
 
