@@ -165,13 +165,14 @@ def search(
 
     Vectors that are null, zero, or hold null or non-finite components take no part,
     nor do those of another length than the most frequent one of the sample. Every
-    other row is filed. Rows with the query's id aren't its candidates; repeated rows
-    count each. A part's rows are dealt to blocks by hash of the id, as are its
+    other row is filed, but for those without an id, which no result could name. Rows with the query's id
+    aren't its candidates; repeated rows count each as candidates and once as a query. Different vectors
+    under one id are queries of their own, ranked each under that id. A part's rows are dealt to blocks by hash of the id, as are its
     queries, so no task holds a part; blocks of rows meet blocks of queries.
     """
-    schema = "query_id long, vec_id long, score double"
+    schema = "query_id long, asked long, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.filter(_usable(F.col("v")))
+    rows = rows.filter(F.col("vec_id").isNotNull() & _usable(F.col("v")))
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
     lengths = [len(v) for v in drawn]
     dimension = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
@@ -189,9 +190,10 @@ def search(
             )
 
     filed = written(rows.mapInArrow(route, "vec_id long, v array<double>, routes array<int>"), "ann-index")
-    asking = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
+    asking = F.col("vec_id") % every == 0
+    queries = filed.filter(asking).dropDuplicates(["vec_id", "v"])
     held = filed.groupBy(F.col("routes")[0].alias("part")).agg(F.count("*").alias("n")).collect()  # a row per part
-    asked = filed.filter(asking).select(F.explode("routes").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()
+    asked = queries.select(F.explode("routes").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()
     cuts = {r.part: -(-r.n // block) for r in held}
     turns = {r.part: -(-r.n // block) for r in asked}
 
@@ -203,26 +205,27 @@ def search(
     index = filed.select("vec_id", "v", part.alias("part"), every_turn.alias("turn")).withColumn(
         "cut", F.pmod(F.xxhash64("vec_id", "v"), number(cuts, F.col("part"))).cast("int")
     )
-    probed = filed.filter(asking).select(F.col("vec_id").alias("query_id"), "v", F.explode("routes").alias("part"))
+    probed = queries.select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("asked"), "v", F.explode("routes").alias("part"))
     every_cut = F.explode(F.sequence(F.lit(0), number(cuts, F.col("part")) - 1))
     probed = probed.select(
-        "query_id", "v", "part", F.pmod(F.xxhash64("query_id"), number(turns, F.col("part"))).cast("int").alias("turn"), every_cut.alias("cut")
+        "query_id", "asked", "v", "part", F.pmod(F.xxhash64("query_id", "asked"), number(turns, F.col("part"))).cast("int").alias("turn"), every_cut.alias("cut")
     )
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, int, float]] = []
         if left.num_rows and right.num_rows:
             ids, x = np.asarray(left["vec_id"].combine_chunks()), _rows(left["v"], dimension)
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            queries, q = right["query_id"].to_pylist(), _rows(right["v"], dimension)
-            for i, query_id in enumerate(queries):
+            q = _rows(right["v"], dimension)
+            for i, (query_id, asked) in enumerate(zip(right["query_id"].to_pylist(), right["asked"].to_pylist(), strict=True)):
                 near = unit @ (q[i] / np.linalg.norm(q[i]))
-                found += ((query_id, int(a), float(b)) for a, b in zip(*best(q[i], query_id, ids, x, near, k), strict=True))
-        a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+                found += ((query_id, asked, int(a), float(b)) for a, b in zip(*best(q[i], query_id, ids, x, near, k), strict=True))
+        columns = zip(*found, strict=True) if found else ((), (), (), ())
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "asked", "vec_id", "score"])
 
     keys = ("part", "turn", "cut")
     candidates = index.groupBy(*keys).cogroup(probed.groupBy(*keys)).applyInArrow(compare, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
     ranked = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -134,6 +134,28 @@ def test_search_over_all_parts_is_exact(spark):
     assert [j for j, _ in got[1000]] == [3, 1001, 1002, 1003, 1004]
 
 
+def test_search_with_missing_large_and_repeated_ids(spark):
+    rng = np.random.default_rng(7)
+    big = (1 << 53) + 1
+    rows = [(i, rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(120)]
+    rows += [(big + i, rng.normal(0, 1, 8).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(None, rows[0][1]), (None, None)] + [rows[10]] * 3 + [(20, rows[5][1])]
+    found = learned_ann.search(vectors(spark, rows), every=10, k=5, parts=4, probes=4, block=32).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r.rank):
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    usable = [(i, np.array(v, np.float64)) for i, v in rows if i is not None]
+    for own, lists in got.items():
+        vectors_of = {tuple(v) for i, v in usable if i == own}
+        want = []
+        for q in map(np.array, vectors_of):
+            scores = sorted((-(q @ x) / np.linalg.norm(q) / np.linalg.norm(x), j) for j, x in usable if j != own)[:5]
+            want += [(n, j, round(-s, 9)) for n, (s, j) in enumerate(scores, 1)]
+        assert sorted((n, j, round(s, 9)) for n, j, s in lists) == sorted(want)
+    assert set(got) == {i for i, _ in usable if i % 10 == 0}
+    assert len(got[20]) == 10 and len(got[10]) == 5
+
+
 def test_recall_of_the_query(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
