@@ -29,6 +29,7 @@ from foliomill.session import written
 
 K1, B = 1.2, 0.75
 KEYS = 4  # terms that order a remainder
+SHARDS_PER_TASK = 32
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -222,11 +223,13 @@ def pack(
     schema = "doc_id long, doc_tokens long, rest binary, row long, " + ", ".join(f"{k} int" for k in names)
     # written, as the ranges are sampled first
     ordered = written(numbered.mapInArrow(order, schema), "pack-order")
-    remainders = ordered.repartitionByRange(shards, *names, "row")
+    ranges = -(-shards // SHARDS_PER_TASK)
+    remainders = ordered.repartitionByRange(ranges, *names, "row").sortWithinPartitions(*names, "row")
+    remainders = remainders.select("doc_id", "doc_tokens", "rest")
 
-    def shard(table: pa.Table, number: int, first: int) -> list[tuple]:
-        ids = [np.frombuffer(x, "<u2") for x in table["rest"].to_pylist()]
-        doc_ids, totals = table["doc_id"].to_pylist(), table["doc_tokens"].to_pylist()
+    def shard(rows: list[tuple], number: int, first: int) -> list[tuple]:
+        doc_ids, totals, rests = zip(*rows, strict=True)
+        ids = [np.frombuffer(x, "<u2") for x in rests]
         sequences = fill_windows(ShardIndex(ids, *statistics.value), [len(x) for x in ids], window)
         out = []
         for k, pieces in enumerate(sequences, first):
@@ -240,17 +243,22 @@ def pack(
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = list(batches)
-        table = pa.Table.from_batches(held) if held else None
-        if table is None or not table.num_rows:
-            return
-        table = table.sort_by([(k, "ascending") for k in [*names, "row"]])
-        number, first = TaskContext.get().partitionId(), 0
-        cuts = max(1, round(table.num_rows / shard_rows))  # ranges are sampled, so one can be larger
-        for part in np.array_split(np.arange(table.num_rows), cuts):
-            out = shard(table.slice(part[0], len(part)), number, first)
+        number, first, held = TaskContext.get().partitionId(), 0, []
+        fields = [c.split()[0] for c in PIECES.split(", ")]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal first
+            out = shard(held, number, first)
             first = (out[-1][5] >> 1 & (1 << 24) - 1) + 1
-            fields = [c.split()[0] for c in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], fields)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], fields)
+
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "doc_tokens", "rest")), strict=True):
+                held.append(row)
+                if len(held) >= shard_rows:
+                    yield flush()
+        if held:
+            yield flush()
 
     return whole.unionByName(remainders.mapInArrow(fill, PIECES))

@@ -5,6 +5,7 @@ segment that begins at a single space or line break don't depend on what stands
 around it, so each distinct segment is cut into pre-tokens once, those go through
 the merges of the library, and a text's ids are its segments' ids joined. Texts
 where white space runs could reach over a cut are given to the library whole.
+Byte-level files whose ids are ranks go through the ranks library, text by text.
 Tests compare with whole-text encoding.
 """
 
@@ -116,6 +117,19 @@ class SegmentEncoder:
         return head + b"".join(map(self._cache.__getitem__, parts))
 
 
+class WholeTexts:
+    """``encode(text) -> bytes`` of little-endian ids, by an encoder of whole texts."""
+
+    def __init__(self, encode: Callable[[str], list[int]], dtype: str) -> None:
+        self._encode, self._dtype = encode, dtype
+
+    def encode(self, text: str | None) -> bytes:
+        return np.array(self._encode(text), self._dtype).tobytes() if text else b""
+
+
+_LOADED: dict[tuple[str, str], SegmentEncoder | WholeTexts] = {}
+
+
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id of a tokenizers file of byte-level BPE; special tokens are their text."""
     with open(path, encoding="utf-8") as file:
@@ -127,13 +141,36 @@ def token_bytes(path: str) -> list[bytes]:
     return [known.get(i, b"") for i in range(max(known) + 1)]
 
 
-_LOADED: dict[tuple[str, str], SegmentEncoder] = {}
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Ids as ranks, if merging the pair with the lowest id is what the file's merges say: ids rise with
+    the merges, and nothing but plain byte-level pre-tokens stands before them. None otherwise."""
+    with open(path, encoding="utf-8") as file:
+        parts = json.load(file)
+    before, model = parts["pre_tokenizer"], parts["model"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"][a + b] for a, b in merges]
+    special = {t["id"] for t in parts["added_tokens"]}
+    plain = parts["normalizer"] is None and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+    whole = len(made) + 256 + len(special - set(made)) >= len(model["vocab"])
+    if not (plain and whole and model["type"] == "BPE" and all(a < b for a, b in zip(made, made[1:], strict=False))):
+        return None
+    return {t: i for i, t in enumerate(token_bytes(path)) if i not in special}
+
 
+def byte_level_encoder(path: str, pattern: str, dtype: str = "<u2") -> SegmentEncoder | WholeTexts:
+    """For a tokenizers file of byte-level BPE whose pre-tokens ``pattern`` cuts.
 
-def byte_level_encoder(path: str, pattern: str, dtype: str = "<u2") -> SegmentEncoder:
-    """For a tokenizers file of byte-level BPE whose pre-tokens ``pattern`` cuts."""
+    Where the file's ids are ranks, the ranks library gives the same ids in half the time.
+    """
     if (path, dtype) not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        ranks = _ranks(path)
+        if ranks is not None:
+            import tiktoken
+
+            fast = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            _LOADED[path, dtype] = WholeTexts(fast.encode_ordinary, dtype)
+            return _LOADED[path, dtype]
         import regex
         from tokenizers import Tokenizer
 
