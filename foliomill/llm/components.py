@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.session import written
+from foliomill.session import discard, written
 
 
 def _state(links: DataFrame) -> tuple:
@@ -33,12 +33,15 @@ def components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), "m")
         moved = large.join(lowest, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
         kept = lowest.select(F.col("of").alias("a"), F.col("m").alias("b"))
-        edges = written(moved.unionByName(kept).distinct(), "component-links")
+        before, edges = edges, written(moved.unionByName(kept).distinct(), "component-links")
+        discard(before, large)
         new = _state(edges)
         if new == state:
             break
         state = new
     roots = edges.select("b").distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.select(F.col("b").alias("node"), F.col("b").alias("component"))
     )
+    found._written_path = edges._written_path  # so that a caller who is done with it can discard it
+    return found

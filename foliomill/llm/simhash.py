@@ -165,34 +165,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
-
-
-def one_of_each(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` without near copies, with all their columns: of each group the row of
-    the smallest doc_id stays, of rows with that id too the one whose text hashes lowest, and of
-    equal rows one. A null doc_id stays only where no other is in the group."""
-    return keep_first(docs, *_grouped(docs, width, radius))
-
-
-def keep_first(docs: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The picks of ``one_of_each``: ``rows`` (doc_id, digest, fp) are grouped by the component that
-    ``groups`` (of, component) has for their fp, else by fp."""
-    joined = rows.join(groups, F.col("fp") == F.col("of"), "left").select(
-        "doc_id", "digest", F.coalesce("component", "fp").alias("group"), F.isnull("doc_id").alias("no_id")
-    )
-    first = joined.groupBy("group").agg(F.min(F.struct("no_id", "doc_id", "digest")).alias("k"))
-    winners = first.select(F.col("k.doc_id").alias("winner"), F.col("k.digest").alias("winner_digest")).distinct()
-    again = joined.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    keyed = docs.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)),
-        F.col("doc_id").cast("long").alias("own_id"),
-        F.xxhash64("text").alias("own_digest"),
-    )
-    match = F.col("own_id").eqNullSafe(F.col("winner")) & (F.col("own_digest") == F.col("winner_digest"))
-    # Merged, not sent: winners are nearly as many as the documents.
-    kept = keyed.join(winners.hint("merge"), match, "left_semi")
-    if again:  # rows that no column tells apart
-        packed = F.struct(*names).alias("row")
-        kept = kept.groupBy("own_id", "own_digest").agg(F.first(packed).alias("row")).select("row.*")
-    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))

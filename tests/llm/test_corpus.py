@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import zlib
 
 import numpy as np
@@ -7,8 +8,9 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from foliomill.llm import gru_lm, host_rules, repeats, simhash
+from foliomill.llm import gru_lm, host_rules, minhash, repeats, simhash
 from foliomill.llm.components import components
+from foliomill.session import checkpoint_root
 
 
 def words(text):
@@ -78,16 +80,6 @@ def test_hot_bucket_is_split_and_stays_exact(spark, monkeypatch):
     assert roots(signed, [(r.a, r.b) for r in links]) == want
 
 
-def test_one_of_each_keeps_one_row_of_a_group(odd, sample):
-    for docs in (odd, sample):
-        kept = simhash.one_of_each(docs)
-        assert kept.columns == docs.columns
-        ids = collections.Counter((r.doc_id, r.text) for r in kept.collect())
-        assert max(ids.values()) == 1
-        groups = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-        assert {d for d, _ in ids} == groups
-
-
 def brute_repeats(texts, window):
     seen = collections.Counter()
     split = [words(t) for t in texts]
@@ -308,3 +300,29 @@ def test_near_dedup_stage_equals_brute_force(spark, make, sample, odd, monkeypat
             least[group[number[s]]] = min(key, least.get(group[number[s]], key))
         kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, docs, "").collect()
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(least.values())
+
+
+def test_near_dedup_covers_all_pairs_of_large_buckets(spark, make):
+    """400 pairs of pages on one template: similar in a pair (0.83), not quite across (0.79)."""
+    template = [f"t{i}" for i in range(357)]
+    rows = []
+    for p in range(400):
+        both = template + [f"p{p}w{i}" for i in range(10)]
+        rows += [(2 * p + c, " ".join(both + [f"o{p}c{c}w{i}" for i in range(37)]), "a") for c in (0, 1)]
+    kept = minhash.one_of_each(make(rows))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 800, 2))
+
+
+def test_near_dedup_of_a_large_group_and_its_neighbours(spark, make):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:i % 150], f"x{i}", *base[i % 150 + 1 :]]), "a") for i in range(1, 1500)]
+    rows += [(5000 + i, " ".join(base[:120] + [f"y{i}v{k}" for k in range(80)]), "a") for i in range(90)]
+    kept = [r.doc_id for r in minhash.one_of_each(make(rows)).collect()]
+    assert sorted(kept) == [1, *range(5000, 5090)]
+
+
+def test_scratch_tables_of_near_dedup_go(spark, make):
+    before = set(os.listdir(checkpoint_root(spark)))
+    minhash.one_of_each(make([(i, f"a b c d e f{i}", "s") for i in range(9)])).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(checkpoint_root(spark))) - before}
+    assert left == {"chunks", "chunk-list", "minhash-files", "minhash-winners"}  # what the result reads
