@@ -404,7 +404,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     placed = scores.withColumn("place", F.row_number().over(Window.partitionBy("grp", "item").orderBy(F.desc("score"))))
     floor = placed.filter(F.col("place") <= k).filter(F.col("place") == k).select("grp", F.struct("item", "score").alias("floor"))
     floors = floor.groupBy(F.col("grp").alias("of")).agg(F.collect_list("floor").alias("floors"))  # one per item of a group at most
-    work = trees.select("tree", "grp").repartition(tasks).join(floors, F.col("grp") == F.col("of"), "left").select("tree", "grp", "floors")
+    # Dealt out after the join, which may bring all trees of a group together: these rows are names and floors.
+    work = trees.select("tree", "grp").join(floors, F.col("grp") == F.col("of"), "left").select("tree", "grp", "floors").repartition(tasks)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
