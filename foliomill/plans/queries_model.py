@@ -37,10 +37,14 @@ def labelled_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     docs = _contents(tb.stored_documents(spark, sf_dir)).select(
         "path", F.col("lang").alias("doc_type"), F.col("doc_id").alias("position"), "content"
     )
-    extracted = extract_documents(docs)
+    # Written, as the lemma table and the rows both read it: every file is extracted once.
+    extracted = written(extract_documents(docs), "extracted")
     words = extracted.select(tokens(clean_words(F.col("raw_text"), SETTINGS)).alias("words"))
     lemmas = written(build_lemma_table(words, "words"), "lemmas")
-    return prepare(extracted, SETTINGS, lemmas), lemmas
+    columns = ("path", "doc_type", "position", "processed_text", "features")
+    rows = written(prepare(extracted, SETTINGS, lemmas).select(*columns), "labelled-rows")
+    discard(extracted)
+    return rows, lemmas
 
 
 @query()
@@ -107,7 +111,6 @@ def train_forest(spark, sf_dir):
 def cross_validate(spark, sf_dir):
     """Rows of each fold, those of its largest class, and whether the fold's model hits more."""
     rows, lemmas = labelled_rows(spark, sf_dir)
-    rows = written(rows.select("path", "doc_type", "position", "processed_text", "features"), "cv-rows")
     scores = tr.cross_validate(rows, SETTINGS, lemmas).select("fold", "hits")
     numbered, _ = tr.number_labels(rows)
     folds = stratified_folds(numbered.select("path", "label"), "label", "path", SETTINGS.folds, SETTINGS.seed)

@@ -11,6 +11,7 @@ from foliomill.operators.compare import new_files
 from foliomill.plans.model import DocumentModel, ModelSettings
 from foliomill.plans.process import ROW_COLUMNS, process
 from foliomill.plans.train import Evaluation, train
+from foliomill.sources.counts import TermCounts
 from foliomill.sources.store import ProcessedStore
 
 
@@ -53,7 +54,8 @@ def update(
 
     A model has the number of the store version it was trained on. Nothing new means
     no new version, and no retraining either, unless the last run died before its model
-    was saved. Files that a stream stored without a label count as new once they are listed.
+    was saved. Terms are counted in the documents only that the last update's model didn't have, or had
+    and lost. Files that a stream stored without a label count as new once they are listed.
     From the second version on there must be an earlier model.
     """
     stored = store.read().filter(F.col("doc_type").isNotNull())
@@ -68,6 +70,7 @@ def update(
         if version == 0 or DocumentModel.exists(model_path(model_base, version)):
             return Updated(version, store.latest().select(*ROW_COLUMNS), None)
     rows = store.latest().select(*ROW_COLUMNS)
-    evaluation = train(rows, settings, lemmas)
+    counts = TermCounts(store.spark, f"{store.root}/term_counts/{settings.processing()}")
+    evaluation = train(rows, settings, lemmas, counts, store.read())
     evaluation.model.save(model_path(model_base, version))
     return Updated(version, rows, evaluation)

@@ -19,6 +19,16 @@ def next_version(commits: DataFrame, version: str = "version"):
     return commits.agg((F.coalesce(F.max(version), F.lit(0)) + 1).alias("next_version"))
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet folder, or no rows where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class ProcessedStore:
     """Rows of version n are those first processed in run n.
 
@@ -31,12 +41,7 @@ class ProcessedStore:
         self.root = root.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return self.spark.createDataFrame([], schema)
+        return read_or_empty(self.spark, f"{self.root}/{name}", schema)
 
     def commits(self) -> DataFrame:
         return self._read("commits", COMMITS_SCHEMA)

@@ -6,12 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.operators import terms
 from foliomill.operators.terms import TermLimits
-from foliomill.plans import classify, process, train, update
+from foliomill.plans import classify, process, queries_model, train, update
 from foliomill.plans.model import DocumentModel, ModelSettings, prepare
 from foliomill.sources import extract as ex
 from foliomill.sources import files as fl
 from foliomill.sources import sinks
+from foliomill.sources.counts import TermCounts
 from foliomill.sources.store import ProcessedStore
 from foliomill.streaming.ingest import ingest, stream_tree
 from foliomill.streaming.score import score_stream
@@ -30,7 +32,7 @@ def write_files(root, kinds, start=0):
     listed = []
     for kind, count in kinds.items():
         for i in range(start, start + count):
-            folder = os.path.join(root, f"4710.{i % 3}")
+            folder = os.path.join(root, f"unit-{i % 3}")
             os.makedirs(folder, exist_ok=True)
             path = os.path.join(folder, f"{kind}{i}.TXT")
             body = " ".join(rng.choice(WORDS[kind].split(), 30)) + f" page {i} shared words {i}-1"
@@ -61,7 +63,14 @@ def world(spark, tmp_path_factory):
 def test_labelled_list(spark, tmp_path):
     path = tmp_path / "l.csv"
     path.write_text('Note,Document types,File Path\nx,Manual,/a//b.pdf\n,Drawing,"/a/./c, ""d"".pdf"\n')
-    assert [tuple(r) for r in fl.read_labelled(spark, str(path)).collect()] == [("/a/b.pdf", "Manual"), ('/a/c, "d".pdf', "Drawing")]
+    listed = fl.read_labelled(spark, str(path))
+    assert [tuple(r) for r in listed.collect()] == [("/a/b.pdf", "Manual"), ('/a/c, "d".pdf', "Drawing")]
+    path.write_text("File Path,Document types\n" + "".join(f"/z{i:02},{t}\n" for i, t in enumerate("CABCA")))
+    order = fl.listed_types(fl.read_labelled(spark, str(path)))
+    assert order == ("C", "A", "B")
+    docs = spark.createDataFrame([("/a", "B"), ("/b", "A"), ("/c", "new"), ("/d", "C"), ("/e", "B")], "path string, doc_type string")
+    numbered, labels = train.number_labels(docs, order)
+    assert labels == ("C", "A", "B", "new") and {r.doc_type: r.label for r in numbered.collect()} == {"C": 0, "A": 1, "B": 2, "new": 3}
 
 
 def test_tree_scan_leaves_contents_alone_and_signs_files(spark, tmp_path):
@@ -205,7 +214,7 @@ def test_update_processes_only_new_files(spark, world, tmp_path):
     same = update.update(spark.createDataFrame(old, schema), tree, store, str(tmp_path / "m"), SETTINGS)
     assert same.evaluation is None and same.version == 1
     new = write_files(root, {"Certificate": 8}, start=100)
-    mixed = [(p.replace("/4710", "/./4710"), t) for p, t in old + new]
+    mixed = [(p.replace("/unit", "/./unit"), t) for p, t in old + new]
     second = update.update(spark.createDataFrame(mixed, schema), fl.scan_tree(spark, root), store, str(tmp_path / "m"), SETTINGS)
     assert second.version == 2 and second.rows.count() == 24
     assert store.read().filter("version = 2").count() == 8
@@ -333,3 +342,69 @@ def test_prepare_uses_lemmas(spark):
     lemmas = spark.createDataFrame([("pumps", "pump")], "form string, lemma string")
     assert prepare(docs, SETTINGS, lemmas).first()["processed_text"] == "pump boxes"
     assert prepare(docs, SETTINGS, None).first()["processed_text"] == "pumps boxes"
+
+
+def _vocabulary(df):
+    return sorted((r.term, r.term_id, r.df, r.cf, round(r.idf, 12)) for r in df.collect())
+
+
+def test_fold_vocabularies_are_totals_minus_the_fold(spark, world, monkeypatch):
+    rows, _ = train.training_rows(world["rows"])
+    folded = train.stratified_folds(rows, "label", "path", 5, 42).cache()
+    counts = terms.fold_counts(terms.with_terms(folded, "processed_text"), "terms", "fold", 5)
+    for fold in range(5):
+        others = folded.filter(F.col("fold") != fold)
+        want = terms.vocabulary(terms.with_terms(others, "processed_text"), "terms", SETTINGS.limits)
+        got = terms.kept_terms(terms.without_fold(counts, fold), F.lit(float(others.count())), SETTINGS.limits)
+        assert _vocabulary(got) == _vocabulary(want) != []
+    folded.unpersist()
+    passes = []
+    scan = terms._occurrences
+    monkeypatch.setattr(terms, "_occurrences", lambda *a: passes.append(a) or scan(*a))
+    assert train.cross_validate(world["rows"], SETTINGS).count() == 5
+    assert len(passes) == 1  # one pass over the terms for five models
+
+
+def test_carried_counts_equal_a_recount(spark, tmp_path, monkeypatch):
+    counts = TermCounts(spark, str(tmp_path))
+
+    def table(rows):
+        return spark.createDataFrame(rows, "path string, processed_text string")
+
+    def recount(df):
+        return terms.vocabulary(terms.with_terms(df, "processed_text"), "terms", terms.TermLimits(50, 1, 1.0))
+
+    first = table([("a", "red green blue"), ("b", "red red"), ("c", None), ("d", "blue sky"), ("d", "blue sky")])
+    second = table([("a", "red green violet"), ("b", "red red"), ("e", "new words here"), ("d", "blue sky"), ("b", "red red")])
+    assert counts.advance(first, first) == 5
+    assert _vocabulary(counts.vocabulary(terms.TermLimits(50, 1, 1.0))) == _vocabulary(recount(first))
+    read = []
+    scan = terms._occurrences
+    monkeypatch.setattr(terms, "_occurrences", lambda docs, *a: read.append(docs.count()) or scan(docs, *a))
+    # a changed, b once more, c and one d gone, e new: six documents, a row each
+    assert counts.advance(second, first) == 6 and read == [6]
+    monkeypatch.undo()
+    assert _vocabulary(counts.vocabulary(terms.TermLimits(50, 1, 1.0))) == _vocabulary(recount(second))
+    assert counts.documents() == 5 and counts.advance(second, first) == 0
+    # a version that was never committed shows nowhere
+    table([("x", "lost run")]).selectExpr("'lost' AS term", "9L AS df", "9L AS cf").write.parquet(f"{tmp_path}/deltas/version=9")
+    assert counts.totals().filter("term = 'lost'").count() == 0
+    # texts that nobody has any more: all are counted anew
+    assert counts.advance(first, second.limit(0)) == 5
+    assert _vocabulary(counts.vocabulary(terms.TermLimits(50, 1, 1.0))) == _vocabulary(recount(first))
+    assert counts.documents() == 5
+    empty = first.limit(0)
+    assert counts.advance(empty, first) == 5 and counts.totals().count() == 0 == counts.documents()
+
+
+def test_labelled_rows_are_extracted_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting(path, content):
+        calls.add(1)
+        return [content.decode("utf-8")]
+
+    monkeypatch.setattr(queries_model, "extract_documents", lambda docs: ex.extract_documents(docs, counting))
+    rows, _ = queries_model.labelled_rows(spark, "/root/testdata/sf0.001")
+    train.train(rows, SETTINGS)
+    assert calls.value == rows.count() == 87
