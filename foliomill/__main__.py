@@ -14,7 +14,7 @@ from foliomill.plans.train import cross_validate, train
 from foliomill.plans.update import model_path, update
 from foliomill.session import build_session
 from foliomill.sources.extract import Extractor, decode_utf8
-from foliomill.sources.files import read_labelled, scan_tree, target_files
+from foliomill.sources.files import listed_types, read_labelled, scan_tree, target_files
 from foliomill.sources.store import ProcessedStore
 
 
@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--model", required=True, help="model base path; '_v<n>' is added")
         one.add_argument("--error-log")
         one.add_argument("--lemmas", help="Parquet folder with columns form and lemma")
+        one.add_argument("--processing-version", default="1", help="raise it to process stored files again")
         one.add_argument("--profile", choices=("replace", "delete"), default="replace", help="how texts are cleaned")
         one.add_argument("--extractor", type=imported, default=decode_utf8, help="module:function for the file format")
     one = commands.add_parser("classify")
@@ -66,12 +67,12 @@ def main(argv: list[str] | None = None) -> None:
     listed = read_labelled(spark, args.labelled)
     files = target_files(scan_tree(spark, args.root), args.suffix)
     store = ProcessedStore(spark, args.store)
-    settings = ModelSettings(profile=args.profile)
+    settings = ModelSettings(profile=args.profile, version=args.processing_version)
     lemmas = spark.read.parquet(args.lemmas).select("form", "lemma") if args.lemmas else None
     how = {"error_log": args.error_log, "extractor": args.extractor, "lemmas": lemmas}
     if args.command == "train":
         rows = load_or_process(listed, files, store, settings, **how)
-        evaluation = train(rows, settings, lemmas)
+        evaluation = train(rows, settings, lemmas, known=listed_types(listed))
         evaluation.model.save(model_path(args.model, store.next_version() - 1))
     else:
         done = update(listed, files, store, args.model, settings, **how)

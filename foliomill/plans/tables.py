@@ -21,6 +21,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- text -----------------------------------------------------------------
 
+# The patterns and their replacements that cleaning must match, in SQL.
 CLEAN_REPLACE_SQL = r"""
 lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace({text},
   '\b(?:page\s+\d+|section\s+[ivx]+)\b', '', 'gi'),

@@ -20,6 +20,16 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(normalize_location(plain_path(F.col(LABELLED_HEADINGS[0]))).alias("path"), F.col(LABELLED_HEADINGS[1]).alias("doc_type"))
 
 
+def listed_types(listed: DataFrame) -> tuple[str, ...]:
+    """The document types of a list that :func:`read_labelled` read, in order of first appearance.
+
+    A file is read whole by one task, so row numbers follow its lines; several files come in Spark's order.
+    """
+    placed = listed.select("doc_type", F.monotonically_increasing_id().alias("place")).filter(F.col("doc_type").isNotNull())
+    found = placed.groupBy("doc_type").agg(F.min("place").alias("place")).collect()  # a row per type
+    return tuple(r["doc_type"] for r in sorted(found, key=lambda r: r["place"]))
+
+
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root``: path, modificationTime, length, content.
 
