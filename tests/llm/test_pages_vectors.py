@@ -64,6 +64,13 @@ def test_extraction_of_odd_pages(pages):
         ("<article><p>a < b and 3 > 2</p></article>", "a < b and 3 > 2"),
         ("<article><p>cut off in the mid", "cut off in the mid"),
         ("<article><p title=\"a>b\">quoted</p></article>", "quoted"),
+        ("<article class='post comments-open'><h1>T</h1><p>One two three.</p></article>", "T\nOne two three."),
+        ("<article class='category-social'><p>One two three.</p></article>", "One two three."),
+        ("<div class='entry-content has-sidebar'><p>One two three.</p><p>More of it here.</p></div>", "One two three.\nMore of it here."),
+        ("<div class='post tag-side-effects'><p>One two three.</p></div>", "One two three."),
+        ("<article><p data-hidden-id=3>One two.</p></article>", "One two."),
+        ("<article><p title='a hidden gem'>One two.</p><p hidden>no</p><div style='display: none'>no</div></article>", "One two."),
+        ("<body class='sidebar'><div class='widget'><main><p>One two.</p></main></div><div class='widget'><p>No.</p></div>", "One two."),
     ],
 )
 def test_extraction_cases(page, want):
@@ -81,22 +88,30 @@ def test_extraction_equals_the_articles_of_the_pages(spark):
         assert html_blocks.main_text(r.html, tree) == "\n".join(p for p in parts if p)
 
 
-def test_tree_generalises_to_the_page_left_out():
+@pytest.mark.parametrize("names", [True, False])
+def test_tree_generalises_to_the_page_left_out(names, monkeypatch):
+    """Held-out accuracy over blocks, with and without marks by tag and name."""
+    pages = html_blocks.LABELLED
     right = total = 0
-    for k in range(len(html_blocks.LABELLED)):
-        xs, ys, held = [], [], None
-        for i, rows in enumerate(html_blocks.LABELLED):
-            x = html_blocks.with_neighbours(html_blocks.blocks(html_blocks._labelled_page(rows))[1])
-            y = np.array([bool(r[0]) for r in rows])
-            if i == k:
-                held = x, y
-            else:
-                xs.append(x)
-                ys.append(y)
-        tree = html_blocks.grow(np.vstack(xs), np.concatenate(ys))
-        right += int((html_blocks.classify(tree, held[0]) == held[1]).sum())
-        total += len(held[1])
-    assert right / total >= 0.85
+    for k in range(len(pages)):
+        monkeypatch.setattr(html_blocks, "LABELLED", pages[:k] + pages[k + 1 :])
+        tree = html_blocks.grow(*html_blocks.table(html_blocks.labelled(), names))
+        x, y = html_blocks.table([pages[k]], names)
+        right += int((html_blocks.classify(tree, x) == y).sum())
+        total += len(y)
+    assert right / total >= 0.8
+
+
+def test_pages_without_names_are_told_by_densities():
+    menu = "".join(f"<li><a href=#>Item {i}</a></li>" for i in range(6))
+    prose = ["Headline of the day", *(" ".join(["word"] * n) + "." for n in (60, 45, 80, 30))]
+    page = f"<body><div><ul>{menu}</ul></div><div><div><h2>{prose[0]}</h2>" + "".join(f"<p>{p}</p>" for p in prose[1:]) + f"</div></div><div><ul>{menu}</ul></div>"
+    assert html_blocks.main_text(page, html_blocks.train()) == "\n".join(prose)
+
+
+def test_deep_and_unbalanced_pages():
+    page = "<div>" * 100_000 + "<p>Deep text here.</p>" + "</span></p></section>" * 100_000
+    assert html_blocks.main_text(page, html_blocks.train()) == "Deep text here."
 
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, part string, v string, routes string"
