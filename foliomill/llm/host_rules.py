@@ -120,28 +120,35 @@ def judge(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, hos
 def keep_documents(
     docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, host_limit: float = HOST_LIMIT
 ) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with all their columns and under any names.
+    """The rows of ``docs`` that pass the rules, with all their columns and under any names.
 
-    Rejected hosts are a table of their own that documents are held against; the other
-    rules are applied again where the row is, so no text is shuffled unless many hosts fall.
+    A rejected host's verdict tightens the rules for its documents instead of dropping those that pass
+    every rule: they fall by repeated lines too, which elsewhere count against the host only. Rejected
+    hosts are a table of their own that documents are held against; the rules are applied again where
+    the row is, so no text is shuffled unless many hosts fall.
     """
     verdict = judge(docs, host, min_words, host_limit)
     bad = written(verdict.filter("host_rejected").select("host").distinct(), "quality-hosts")
-    left = docs
+    name = "_" + max(docs.columns, key=len)  # none of the documents' own
     if bad.limit(1).count():
-        name = "_" + max(docs.columns, key=len)  # none of the documents' own
-        left = docs.join(bad.toDF(name), F.col(host).cast("string").eqNullSafe(F.col(name)), "left_anti")
-    at = docs.columns.index("text")
-
-    def passes(text: str | None) -> bool:
-        words, chars, symbols, _, _, again = measure(text)
-        return not (words < min_words or 100 * again > 50 * words or 10 * symbols > chars)
+        rejected = bad.select(F.col("host").alias(name), F.lit(True).alias(name + "_"))
+        left = docs.join(rejected, F.col(host).cast("string").eqNullSafe(F.col(name)), "left").drop(name)
+        left = left.withColumn(name + "_", F.coalesce(F.col(name + "_"), F.lit(False)))
+    else:
+        left = docs.withColumn(name + "_", F.lit(False))
+    at, names = docs.columns.index("text"), docs.columns
+
+    def passes(text: str | None, strict: bool) -> bool:
+        words, chars, symbols, lines, twice, again = measure(text)
+        failed = words < min_words or 100 * again > 50 * words or 10 * symbols > chars
+        return not (failed or (strict and 10 * twice > 3 * lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 rows = batch.slice(start, 500)
-                yield rows.filter(pa.array([passes(t) for t in rows.column(at).to_pylist()], pa.bool_()))
+                pairs = zip(rows.column(at).to_pylist(), rows.column(len(names)).to_pylist(), strict=True)
+                yield rows.filter(pa.array([passes(*p) for p in pairs], pa.bool_())).select(names)
 
     return left.mapInArrow(run, docs.schema)
 

@@ -2,9 +2,10 @@
 
 On a bounded sample a graph of exact nearest neighbours is cut into balanced parts;
 a small network learns which part a vector's neighbours lie in. Every vector is
-filed under its most probable part. A query goes to its ``probes`` most probable
-parts, where it is compared with all vectors, in blocks; each block returns a few
-candidates and the best of all are ranked by cosines of the original vectors.
+filed under its most probable part. A query goes to its most probable parts, as many
+as find enough neighbours of sample rows that the network was not trained on. There
+it is compared with all vectors, in blocks; each block returns a few candidates and
+the best of all are ranked by cosines of the original vectors.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from foliomill.session import written
 
 SAMPLE = 6000  # vectors that the partitioning is fitted on, at most
-PARTS = 16
-PROBES = 12
+PARTS = 16  # at least; doubled while a part would hold more than ROWS rows, up to MAX_PARTS
+MAX_PARTS = 128
+ROWS = 65_536
+RECALL = 0.93  # share of held-out rows' neighbours that the probed parts must hold
 BLOCK = 4096
 
 
@@ -117,18 +120,30 @@ class Router:
                     self.w[i] -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
 
 
-def train_router(x: np.ndarray, parts: int = PARTS, neighbours: int = 10) -> Router:
+def train_router(x: np.ndarray, parts: int = PARTS, neighbours: int = 10, recall: float = RECALL) -> tuple[Router, int]:
+    """The network, and how many parts a query must be sent to. A fifth of the sample, from
+    50 rows on, is kept from training to tell; smaller samples ask for all parts."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     router = Router(x.shape[1], parts)
-    if len(x) > neighbours + 1:
-        graph = neighbour_graph(x, neighbours)
-        label = balanced_parts(x, graph, parts)
-        target = np.zeros((len(x), parts))
-        for k in range(neighbours):
-            target[np.arange(len(x)), label[graph[:, k]]] += 0.5 / neighbours
-        target[np.arange(len(x)), label] += 0.5
-        router.fit(x, target)
-    return router
+    if len(x) <= neighbours + 1:
+        return router, parts
+    graph = neighbour_graph(x, neighbours)
+    label = balanced_parts(x, graph, parts)
+    target = np.zeros((len(x), parts))
+    for k in range(neighbours):
+        target[np.arange(len(x)), label[graph[:, k]]] += 0.5 / neighbours
+    target[np.arange(len(x)), label] += 0.5
+    seen = np.arange(len(x)) % 5 > 0
+    router.fit(x[seen], target[seen])
+    held = np.flatnonzero(~seen)
+    if len(held) < 50:
+        return router, parts
+    p = router.probabilities(x)
+    filed = p.argmax(axis=1)
+    order = np.argsort(-p[held], axis=1, kind="stable")
+    place = np.argsort(order, axis=1)  # of each part in a row's order
+    found = np.sort(np.take_along_axis(place, filed[graph[held]], axis=1).ravel())
+    return router, int(found[min(len(found) - 1, int(np.ceil(recall * len(found))))]) + 1
 
 
 def _usable(vector: Column) -> Column:
@@ -159,7 +174,13 @@ def best(query: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, near: np.n
 
 
 def search(
-    vectors: DataFrame, every: int = 50, k: int = 5, parts: int = PARTS, probes: int = PROBES, sample: int = SAMPLE, block: int = BLOCK
+    vectors: DataFrame,
+    every: int = 50,
+    k: int = 5,
+    parts: int | None = None,
+    probes: int | None = None,
+    sample: int = SAMPLE,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row whose vec_id ``every`` divides.
 
@@ -168,7 +189,8 @@ def search(
     other row is filed, but for those without an id, which no result could name. Rows with the query's id
     aren't its candidates; repeated rows count each as candidates and once as a query. Different vectors
     under one id are queries of their own, ranked each under that id. A part's rows are dealt to blocks by hash of the id, as are its
-    queries, so no task holds a part; blocks of rows meet blocks of queries.
+    queries, so no task holds a part; blocks of rows meet blocks of queries. Where ``parts`` isn't given it
+    grows with the rows, and where ``probes`` isn't given the sample's held-out rows decide.
     """
     schema = "query_id long, asked long, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -176,7 +198,12 @@ def search(
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(sample).select("v").toPandas()["v"].tolist()
     lengths = [len(v) for v in drawn]
     dimension = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
-    router = train_router(np.array([v for v in drawn if len(v) == dimension], np.float64).reshape(-1, dimension), parts)
+    if parts is None:
+        parts, n = PARTS, rows.count()
+        while parts < MAX_PARTS and parts * ROWS < n:
+            parts *= 2
+    router, enough = train_router(np.array([v for v in drawn if len(v) == dimension], np.float64).reshape(-1, dimension), parts)
+    probes = probes or enough
     rows = rows.filter(F.size("v") == dimension)
     weights = vectors.sparkSession.sparkContext.broadcast(router)  # its size is set by dimension and parts
 
