@@ -9,22 +9,29 @@ from foliomill.operators.lemmas import lemmatize
 from foliomill.operators.pages import SPARSE_PAGE_CHARS
 from foliomill.operators.textcache import new_entries, resolve_texts, with_processed
 from foliomill.plans.model import ModelSettings, clean_words, processing_tag
-from foliomill.session import written
+from foliomill.session import discard, small_table, written
 from foliomill.sources.extract import Extractor, decode_utf8, extract_documents, failures
 from foliomill.sources.files import with_signature
 from foliomill.sources.sinks import append_error_log
 from foliomill.sources.store import STORE_SCHEMA, ProcessedStore
+from foliomill.sources.tree import with_content
 
+SENT_PATHS = 100_000
 ROW_COLUMNS = [c.split()[0] for c in STORE_SCHEMA.split(", ")]
 
 
 def listed_files(listed: DataFrame, files: DataFrame) -> DataFrame:
     """Listed paths with content and signature; nulls where there is no such file.
 
-    An inner join with the list keeps file contents of unlisted files out, and
-    contents in place when the list is small enough to send.
+    Files without a ``content`` column (an inventory, a listing by tasks) are read after the join,
+    where the row is, so no content is shuffled. With one, contents of unlisted files are kept out,
+    and contents stay in place while the list has no more than ``SENT_PATHS`` rows.
     """
-    found = with_signature(files).select("path", "signature", "content").join(listed, "path")
+    signed = with_signature(files)
+    if "content" in files.columns:
+        found = signed.select("path", "signature", "content").join(small_table(listed, SENT_PATHS), "path")
+    else:
+        found = with_content(signed.select("path", "signature").join(listed, "path"))
     absent = listed.join(files.select("path").distinct(), "path", "left_anti")
     return found.unionByName(absent, allowMissingColumns=True)
 
@@ -42,8 +49,10 @@ def process_contents(
     extractor: Extractor = decode_utf8,
     min_chars: int = SPARSE_PAGE_CHARS,
     error_log: str | None = None,
+    scratch: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """Extract and clean (path, doc_type, signature, content); texts cleaned before come from the text cache."""
+    """Extract and clean (path, doc_type, signature, content); texts cleaned before come from the text cache.
+    Tables that the result is read from are added to ``scratch``."""
     extracted = written(extract_documents(contents, extractor, min_chars), "extracted")
     if error_log:
         append_error_log(failures(extracted), error_log)
@@ -52,6 +61,8 @@ def process_contents(
         resolve_texts(extracted, store.text_cache(settings.processing()), "raw_text", lambda t: clean_words(t, settings)),
         "resolved",
     )
+    if scratch is not None:
+        scratch += [extracted, resolved]
     store.add_to_text_cache(new_entries(resolved), settings.processing())
     tag = processing_tag(settings, lemmas, extractor, min_chars)
     rows = with_processed(extracted, resolved, "raw_text").withColumn("processing", F.lit(tag))
@@ -70,26 +81,25 @@ def load_or_process(
     """Processed rows of every listed path.
 
     A stored row is reused when its path, file state and processing are
-    unchanged; only the others are processed, and stored as a new version.
+    unchanged; only the others are processed, and stored as a new version. What
+    is decided is decided on paths and signatures; texts stay in their buckets.
     """
     tag = processing_tag(
         settings, how.get("lemmas"), how.get("extractor", decode_utf8), how.get("min_chars", SPARSE_PAGE_CHARS)
     )
     now = with_signature(files).select("path", "signature")
     current = listed.join(now, "path", "left")
-    stored = (
-        store.latest()
-        .filter(F.col("processing") == tag)
-        .select("path", F.col("signature").alias("_stored"), "raw_text", "processed_text", "features", "processing")
-        .dropDuplicates(["path"])
-    )
-    same = F.col("processing").isNotNull() & F.col("_stored").eqNullSafe(F.col("signature"))
-    matched = current.join(stored, "path", "left").withColumn("_same", same)
+    states = store.states().filter(F.col("processing") == tag)
+    states = states.select("path", F.col("signature").alias("_stored"), F.lit(True).alias("_known"))
+    same = F.coalesce("_known", F.lit(False)) & F.col("_stored").eqNullSafe(F.col("signature"))
+    matched = current.join(states, "path", "left").withColumn("_same", same)
     todo = matched.filter(~F.col("_same")).select("path", "doc_type")
-    reused = matched.filter("_same").select(*ROW_COLUMNS)
+    reused = store.stored(matched.filter("_same").select("path", "doc_type", "signature")).select(*ROW_COLUMNS)
     if todo.isEmpty():
         return reused
     version = store.next_version()
-    store.write(process(todo, files, store, settings, **how), version)
+    scratch: list[DataFrame] = []
+    store.write(process(todo, files, store, settings, scratch=scratch, **how), version)
+    discard(*scratch)
     fresh = store.read().filter(F.col("version") == version).select(*ROW_COLUMNS)
     return reused.unionByName(fresh)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foliomill.operators.compare import new_files
 from foliomill.plans.model import ModelSettings
 from foliomill.plans.process import process_contents
+from foliomill.session import discard, small_table
 from foliomill.sources.files import named_like, target_files, with_signature
 from foliomill.sources.store import ProcessedStore
 
@@ -37,12 +38,14 @@ def ingest(
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        # A batch has at most ``maxFilesPerTrigger`` paths: the store is filtered by them in place.
-        seen = store.read().select("path").join(F.broadcast(rows.select("path")), "path", "left_semi")
+        # The store's paths are read without their texts, in their buckets; a batch's paths are sent if few.
+        seen = store.read().select("path").join(small_table(rows.select("path")), "path", "left_semi")
         fresh = new_files(with_signature(rows).select("path", "signature", "content"), seen)
         fresh = fresh.withColumn("doc_type", F.lit(None).cast("string"))
         if not fresh.select("path").isEmpty():
-            store.write(process_contents(fresh, store, settings, **how), store.next_version())
+            scratch: list[DataFrame] = []
+            store.write(process_contents(fresh, store, settings, scratch=scratch, **how), store.next_version())
+            discard(*scratch)
 
     return (
         files.writeStream.foreachBatch(batch)

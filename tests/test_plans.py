@@ -408,3 +408,96 @@ def test_labelled_rows_are_extracted_once(spark, monkeypatch):
     rows, _ = queries_model.labelled_rows(spark, "/root/testdata/sf0.001")
     train.train(rows, SETTINGS)
     assert calls.value == rows.count() == 87
+
+
+def shuffled_columns(frame):
+    """Names of all columns that some exchange of the plan carries."""
+    import re
+
+    text = frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    found = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", text)
+    return {c.split("#")[0].strip() for line in found for c in line.split(",")}
+
+
+STORED = "path string, doc_type string, signature string, raw_text string, processed_text string, features array<double>, processing string"
+
+
+def stored_rows(spark, paths, text="raw"):
+    return spark.createDataFrame([(p, "t", "s", text, "p", [0.0] * 4, "x") for p in paths], STORED)
+
+
+def test_store_shuffles_no_text(spark, tmp_path):
+    store = ProcessedStore(spark, str(tmp_path))
+    store.write(stored_rows(spark, [f"/a/{i}" for i in range(200)]), 1)
+    store.write(stored_rows(spark, [f"/a/{i}" for i in range(0, 200, 3)], "new"), 2)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        latest = store.latest()
+        assert not shuffled_columns(latest) & {"raw_text", "processed_text"}
+        assert {(r.path, r.raw_text) for r in latest.collect()} == {(f"/a/{i}", "raw" if i % 3 else "new") for i in range(200)}
+        assert not shuffled_columns(store.states())
+        wanted = spark.createDataFrame([("/a/0", "u"), ("/a/1", "v"), ("/a/1", "w"), ("/none", "x")], "path string, doc_type string")
+        found = store.stored(wanted)
+        assert not shuffled_columns(found) & {"raw_text", "processed_text"}
+        assert sorted((r.path, r.doc_type, r.raw_text) for r in found.collect()) == [("/a/0", "u", "new"), ("/a/1", "v", "raw"), ("/a/1", "w", "raw")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_compaction_keeps_every_version(spark, tmp_path, monkeypatch):
+    store = ProcessedStore(spark, str(tmp_path), buckets=4)
+    for version in (1, 2, 3):
+        store.write(stored_rows(spark, [f"/a/{i}" for i in range(0, 60, version)], f"v{version}"), version)
+    key = lambda rows: sorted((r.path, r.version, r.raw_text) for r in rows.collect())
+    before, early, newest = key(store.read()), key(store.read(up_to=2)), key(store.latest())
+
+    def dies(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", dies)
+        with pytest.raises(RuntimeError):
+            store.compact()
+    assert store.folders() == [1, 2, 3] and key(store.read()) == before
+    assert store.compact() == [1, 2, 3] and store.folders() == [-1]
+    data = [f for f in os.listdir(tmp_path / "rows" / "version=-1") if f.endswith(".parquet")]
+    assert len(data) == 4
+    again = ProcessedStore(spark, str(tmp_path))
+    for one in (store, again):
+        assert key(one.read()) == before and key(one.read(up_to=2)) == early and key(one.latest()) == newest
+    assert store.next_version() == 4 and os.path.exists(tmp_path / "rows" / "version=1")
+    store.write(stored_rows(spark, ["/a/1"], "v4"), 4)
+    assert store.compact() == [-1, 4] and not os.path.exists(tmp_path / "rows" / "version=1")
+    assert key(store.read()) == sorted([*before, ("/a/1", 4, "v4")]) and store.compact() == []
+
+
+def test_text_cache_compaction(spark, tmp_path):
+    store = ProcessedStore(spark, str(tmp_path))
+    entries = spark.createDataFrame([("d1", "a"), ("d2", "b")], "text_md5 string, processed_text string")
+    for _ in range(3):
+        store.add_to_text_cache(entries, "x")
+    store.add_to_text_cache(entries, "y")
+    for _ in range(2):
+        store.compact_text_cache("x")
+        assert sorted(tuple(r) for r in store.text_cache("x").collect()) == [("d1", "a"), ("d2", "b")]
+    store.add_to_text_cache(entries.withColumn("text_md5", F.lit("d3")).limit(1), "x")
+    assert store.text_cache("x").count() == 3 and store.text_cache("y").count() == 2
+    assert sorted(os.listdir(tmp_path / "text_cache" / "processing=x"))[-2:] == ["generation=1", "generation=2"]
+
+
+def test_tree_listed_by_tasks_equals_the_scan(spark, world, tmp_path):
+    from foliomill.sources import tree
+
+    scanned = sorted(tuple(r) for r in fl.scan_tree(spark, world["root"]).drop("content").collect())
+    for folders in (1, 3, 1000):
+        assert sorted(tuple(r) for r in tree.list_tree(spark, world["root"], folders).collect()) == scanned
+    tree.list_tree(spark, world["root"]).write.parquet(str(tmp_path / "inventory"))
+    listing = tree.read_inventory(spark, str(tmp_path / "inventory"))
+    contents = process.listed_files(world["frame"], listing)
+    assert "content" not in shuffled_columns(contents)
+    want = process.listed_files(world["frame"], fl.scan_tree(spark, world["root"]))
+    key = lambda rows: sorted((r.path, r.signature, bytes(r.content)) for r in rows.collect())
+    assert key(contents) == key(want)
+    gone = listing.limit(1).withColumn("path", F.lit("/nowhere/at.all"))
+    assert tree.with_content(gone).first()["content"] is None
