@@ -1,4 +1,4 @@
-"""Command line: ``python -m foliomill train|update|classify``."""
+"""Command line: ``python -m foliomill train|update|classify|compact``."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ from foliomill.operators.metrics import cv_summary
 from foliomill.operators.review import DEFAULT_THRESHOLD, review_queue, review_summary
 from foliomill.plans.classify import classify_tree
 from foliomill.plans.model import ModelSettings
-from foliomill.plans.process import load_or_process
+from foliomill.plans.process import derived_lemmas, load_or_process
 from foliomill.plans.train import cross_validate, train
 from foliomill.plans.update import model_path, update
 from foliomill.session import build_session
 from foliomill.sources.extract import Extractor, decode_utf8
 from foliomill.sources.files import listed_types, read_labelled, scan_tree, target_files
-from foliomill.sources.store import ProcessedStore
+from foliomill.sources.store import BUCKETS, ProcessedStore
+from foliomill.sources.tree import list_tree, read_inventory
 
 
 def imported(name: str) -> Extractor:
@@ -35,10 +36,16 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--store", required=True, help="processed store")
         one.add_argument("--model", required=True, help="model base path; '_v<n>' is added")
         one.add_argument("--error-log")
-        one.add_argument("--lemmas", help="Parquet folder with columns form and lemma")
+        one.add_argument("--lemmas", help="Parquet folder with columns form and lemma; 'derive' makes one from the listed files")
+        one.add_argument("--buckets", type=int, default=BUCKETS, help="of a new store, about one per gigabyte expected")
+        one.add_argument("--inventory", help="Parquet listing of the files (path, modificationTime, length) instead of a scan")
+        one.add_argument("--list-by-tasks", action="store_true", help="list the folder in the cluster, for very large trees")
         one.add_argument("--processing-version", default="1", help="raise it to process stored files again")
         one.add_argument("--profile", choices=("replace", "delete"), default="replace", help="how texts are cleaned")
         one.add_argument("--extractor", type=imported, default=decode_utf8, help="module:function for the file format")
+    one = commands.add_parser("compact", help="merge small versions and the text cache of a store")
+    one.add_argument("--store", required=True)
+    one.add_argument("--profile", choices=("replace", "delete"), default="replace")
     one = commands.add_parser("classify")
     one.add_argument("--root", required=True)
     one.add_argument("--suffix", default=".pdf")
@@ -60,15 +67,30 @@ def main(argv: list[str] | None = None) -> None:
             args.extractor,
         )
         done.results.orderBy("file_path").show(5, truncate=False)
+        print(", ".join(f"{n} {what}" for what, n in done.counts.items()))
         review_summary(done.results).show()
         review_queue(done.results).show(truncate=False)
         return
 
+    if args.command == "compact":
+        store = ProcessedStore(spark, args.store)
+        print("merged versions:", *store.compact())
+        store.compact_text_cache(ModelSettings(profile=args.profile).processing())
+        return
+
     listed = read_labelled(spark, args.labelled)
-    files = target_files(scan_tree(spark, args.root), args.suffix)
-    store = ProcessedStore(spark, args.store)
+    if args.inventory:
+        tree = read_inventory(spark, args.inventory)
+    else:
+        tree = (list_tree if args.list_by_tasks else scan_tree)(spark, args.root)
+    files = target_files(tree, args.suffix)
+    store = ProcessedStore(spark, args.store, args.buckets)
     settings = ModelSettings(profile=args.profile, version=args.processing_version)
-    lemmas = spark.read.parquet(args.lemmas).select("form", "lemma") if args.lemmas else None
+    lemmas = None
+    if args.lemmas == "derive":
+        lemmas = derived_lemmas(listed, files, store, settings, args.extractor)
+    elif args.lemmas:
+        lemmas = spark.read.parquet(args.lemmas).select("form", "lemma")
     how = {"error_log": args.error_log, "extractor": args.extractor, "lemmas": lemmas}
     if args.command == "train":
         rows = load_or_process(listed, files, store, settings, **how)

@@ -46,6 +46,8 @@ def finish(extracted: DataFrame, model: DocumentModel, root: str, threshold: flo
 class Classified:
     results: DataFrame
     others: DataFrame
+    #: documents, failed and, with a threshold, flagged: counted in the written results.
+    counts: dict[str, int]
 
 
 def classify_tree(
@@ -72,10 +74,14 @@ def classify_tree(
     extracted = extract_documents(target_files(tree, suffix).select("path", "content"), extractor, min_chars)
     errors = ("path", "error_page", "error")
     scored = written(finish(extracted, model, root, threshold, *errors), "classified")
+    flagged = [F.count_if("needs_review").alias("flagged")] if threshold is not None else []
+    # Over two narrow columns of the written table. Observed metrics would come with the pass itself, but a
+    # session that has observed can't send out a forest it fits later: its summary holds the session.
+    counts = scored.agg(F.count("*").alias("documents"), F.count("error").alias("failed"), *flagged).first().asDict()
     results = scored.drop(*errors)
     others = other_files(tree, suffix)
     write_csv(results, results_csv)
     write_csv(others, others_csv)
-    if error_log:
+    if error_log and counts["failed"]:
         append_error_log(failures(scored), error_log)
-    return Classified(results, others)
+    return Classified(results, others, counts)

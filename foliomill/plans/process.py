@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.operators.lemmas import lemmatize
+from foliomill.functions.text import tokens
+from foliomill.operators.lemmas import build_lemma_table, lemmatize
 from foliomill.operators.pages import SPARSE_PAGE_CHARS
 from foliomill.operators.textcache import new_entries, resolve_texts, with_processed
-from foliomill.plans.model import ModelSettings, clean_words, processing_tag
-from foliomill.session import discard, small_table, written
+from foliomill.plans.model import LEMMA_SCHEMA, ModelSettings, clean_words, processing_tag
+from foliomill.session import scratch, small_table, written
 from foliomill.sources.extract import Extractor, decode_utf8, extract_documents, failures
 from foliomill.sources.files import with_signature
 from foliomill.sources.sinks import append_error_log
-from foliomill.sources.store import STORE_SCHEMA, ProcessedStore
+from foliomill.sources.store import STORE_SCHEMA, ProcessedStore, read_or_empty
 from foliomill.sources.tree import with_content
 
 SENT_PATHS = 100_000
@@ -49,10 +50,9 @@ def process_contents(
     extractor: Extractor = decode_utf8,
     min_chars: int = SPARSE_PAGE_CHARS,
     error_log: str | None = None,
-    scratch: list[DataFrame] | None = None,
 ) -> DataFrame:
     """Extract and clean (path, doc_type, signature, content); texts cleaned before come from the text cache.
-    Tables that the result is read from are added to ``scratch``."""
+    The result is read from tables made here: write it in a ``scratch`` block."""
     extracted = written(extract_documents(contents, extractor, min_chars), "extracted")
     if error_log:
         append_error_log(failures(extracted), error_log)
@@ -61,8 +61,6 @@ def process_contents(
         resolve_texts(extracted, store.text_cache(settings.processing()), "raw_text", lambda t: clean_words(t, settings)),
         "resolved",
     )
-    if scratch is not None:
-        scratch += [extracted, resolved]
     store.add_to_text_cache(new_entries(resolved), settings.processing())
     tag = processing_tag(settings, lemmas, extractor, min_chars)
     rows = with_processed(extracted, resolved, "raw_text").withColumn("processing", F.lit(tag))
@@ -71,6 +69,25 @@ def process_contents(
     return rows.select(*ROW_COLUMNS)
 
 
+def derived_lemmas(
+    listed: DataFrame,
+    files: DataFrame,
+    store: ProcessedStore,
+    settings: ModelSettings,
+    extractor: Extractor = decode_utf8,
+    min_chars: int = SPARSE_PAGE_CHARS,
+) -> DataFrame:
+    """Lemma table of the listed files' own words. It is made once and kept with the store, as stored
+    rows depend on it; another profile or other stop words have a table of their own."""
+    place = f"{store.root}/lemmas/{settings.processing()}"
+    known = read_or_empty(store.spark, place, LEMMA_SCHEMA)
+    if known.isEmpty():
+        texts = extract_documents(listed_files(listed, files), extractor, min_chars)
+        words = texts.select(tokens(clean_words(F.col("raw_text"), settings)).alias("words"))
+        build_lemma_table(words, "words").select("form", "lemma").write.mode("overwrite").parquet(place)
+    return store.spark.read.schema(LEMMA_SCHEMA).parquet(place)
+
+
 def load_or_process(
     listed: DataFrame,
     files: DataFrame,
@@ -98,8 +115,7 @@ def load_or_process(
     if todo.isEmpty():
         return reused
     version = store.next_version()
-    scratch: list[DataFrame] = []
-    store.write(process(todo, files, store, settings, scratch=scratch, **how), version)
-    discard(*scratch)
+    with scratch():
+        store.write(process(todo, files, store, settings, **how), version)
     fresh = store.read().filter(F.col("version") == version).select(*ROW_COLUMNS)
     return reused.unionByName(fresh)

@@ -11,7 +11,7 @@ from foliomill.operators.compare import new_files
 from foliomill.plans.model import DocumentModel, ModelSettings
 from foliomill.plans.process import ROW_COLUMNS, process
 from foliomill.plans.train import Evaluation, train
-from foliomill.session import discard
+from foliomill.session import scratch
 from foliomill.sources.counts import TermCounts
 from foliomill.sources.store import ProcessedStore
 
@@ -65,9 +65,8 @@ def update(
     if not fresh.isEmpty():
         if version > 1:
             previous_model(model_base, version)
-        scratch: list[DataFrame] = []
-        store.write(process(fresh, files, store, settings, lemmas=lemmas, scratch=scratch, **how), version)
-        discard(*scratch)
+        with scratch():
+            store.write(process(fresh, files, store, settings, lemmas=lemmas, **how), version)
     else:
         version -= 1
         if version == 0 or DocumentModel.exists(model_path(model_base, version)):

@@ -6,11 +6,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
 def build_session(app: str = "foliomill", master: str | None = None, **conf: str) -> SparkSession:
@@ -97,9 +101,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_path = path
+    if (held := _held.get()) is not None:
+        held.append(back)
     return back
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that :func:`written` makes inside are deleted when the block ends, well or not."""
+    tables: list[DataFrame] = []
+    token = _held.set(tables)
+    try:
+        yield
+    finally:
+        _held.reset(token)
+        discard(*tables)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` made, once nothing reads them any more."""
     for table in tables:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from foliomill.operators.compare import new_files
 from foliomill.plans.model import ModelSettings
 from foliomill.plans.process import process_contents
-from foliomill.session import discard, small_table
+from foliomill.session import scratch, small_table
 from foliomill.sources.files import named_like, target_files, with_signature
 from foliomill.sources.store import ProcessedStore
 
@@ -43,9 +43,8 @@ def ingest(
         fresh = new_files(with_signature(rows).select("path", "signature", "content"), seen)
         fresh = fresh.withColumn("doc_type", F.lit(None).cast("string"))
         if not fresh.select("path").isEmpty():
-            scratch: list[DataFrame] = []
-            store.write(process_contents(fresh, store, settings, scratch=scratch, **how), store.next_version())
-            discard(*scratch)
+            with scratch():
+                store.write(process_contents(fresh, store, settings, **how), store.next_version())
 
     return (
         files.writeStream.foreachBatch(batch)

@@ -285,6 +285,8 @@ def test_a_tree_is_read_once(spark, world, tmp_path):
         str(tmp_path / "r"), str(tmp_path / "o"), str(tmp_path / "e"), 80, counting,
     )
     assert done.results.count() == world["n"] + 1 and seen.value == world["n"] + 1
+    flagged = done.results.filter("needs_review").count()
+    assert done.counts == {"documents": world["n"] + 1, "failed": 1, "flagged": flagged}
 
 
 def test_scratch_tables_go_when_training_ends(spark, world):
@@ -295,7 +297,7 @@ def test_scratch_tables_go_when_training_ends(spark, world):
     folder = urlparse(checkpoint_root(spark)).path
     before = set(os.listdir(folder))
     train.train(world["rows"], SETTINGS)
-    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} <= {"train-scored", "knn-points", "knn-cells", "knn-first"}
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before} <= {"train-scored"}
 
 
 def test_command_line_takes_an_extractor(spark, world, tmp_path, monkeypatch, capsys):
@@ -501,3 +503,43 @@ def test_tree_listed_by_tasks_equals_the_scan(spark, world, tmp_path):
     assert key(contents) == key(want)
     gone = listing.limit(1).withColumn("path", F.lit("/nowhere/at.all"))
     assert tree.with_content(gone).first()["content"] is None
+
+
+def test_processing_leaves_no_tables_behind(spark, tmp_path):
+    from urllib.parse import urlparse
+
+    from foliomill.session import checkpoint_root, scratch, written
+
+    root = str(tmp_path / "files")
+    listed = spark.createDataFrame(write_files(root, {"Manual": 2}), "path string, doc_type string")
+    folder = urlparse(checkpoint_root(spark)).path
+    before = set(os.listdir(folder))
+    rows = process.load_or_process(listed, fl.scan_tree(spark, root), ProcessedStore(spark, str(tmp_path / "s")), SETTINGS)
+    assert rows.count() == 2 and set(os.listdir(folder)) == before
+    with pytest.raises(RuntimeError), scratch():
+        written(spark.range(3).toDF("n"), "lost")
+        raise RuntimeError
+    assert set(os.listdir(folder)) == before
+
+
+def test_command_line_trains_from_an_inventory_with_derived_lemmas(spark, tmp_path, monkeypatch, capsys):
+    from foliomill import __main__ as cli
+    from foliomill.sources import tree
+
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    monkeypatch.setattr(cli, "ModelSettings", lambda **how: ModelSettings(limits=SETTINGS.limits, components=6, trees=10, depth=4, **how))
+    root = str(tmp_path / "files")
+    listed = write_files(root, {"Manual": 10, "Drawing": 10})
+    with open(listed[0][0], "a") as f:
+        f.write(" pumps pump valves valve")
+    (tmp_path / "l.csv").write_text("File Path,Document types\n" + "".join(f"{p},{t}\n" for p, t in listed))
+    tree.list_tree(spark, root).write.parquet(str(tmp_path / "inventory"))
+    places = ["--labelled", str(tmp_path / "l.csv"), "--root", root, "--store", str(tmp_path / "s"), "--model", str(tmp_path / "m")]
+    cli.main(["train", *places, "--suffix", ".txt", "--inventory", str(tmp_path / "inventory"), "--lemmas", "derive", "--buckets", "3"])
+    assert "accuracy" in capsys.readouterr().out and DocumentModel.exists(f"{tmp_path}/m_v1")
+    store = ProcessedStore(spark, str(tmp_path / "s"))
+    first = store.latest().filter(F.col("path") == listed[0][0]).first()["processed_text"]
+    assert first.endswith("pump pump valve valve")
+    write_files(root, {"Manual": 1}, start=70)
+    cli.main(["compact", "--store", str(tmp_path / "s")])
+    assert store.latest().count() == 20
