@@ -75,6 +75,8 @@ class ProcessedStore:
         if self._name is None:
             layout = self._read("layout", LAYOUT_SCHEMA).first()
             if layout is None:
+                if not self.commits().isEmpty():
+                    raise ValueError(f"{self.root} was made without buckets: process its files into a new store")
                 self.spark.range(1).select(F.lit(self._buckets).alias("buckets")).write.parquet(f"{self.root}/layout")
             buckets = self._buckets if layout is None else layout["buckets"]
             name = "store_" + hashlib.md5(self.root.encode()).hexdigest()

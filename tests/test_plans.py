@@ -474,6 +474,12 @@ def test_compaction_keeps_every_version(spark, tmp_path, monkeypatch):
     assert key(store.read()) == sorted([*before, ("/a/1", 4, "v4")]) and store.compact() == []
 
 
+def test_store_without_buckets_is_refused(spark, tmp_path):
+    spark.range(1).selectExpr("1 AS version").write.parquet(str(tmp_path / "commits"))
+    with pytest.raises(ValueError, match="without buckets"):
+        ProcessedStore(spark, str(tmp_path)).read()
+
+
 def test_text_cache_compaction(spark, tmp_path):
     store = ProcessedStore(spark, str(tmp_path))
     entries = spark.createDataFrame([("d1", "a"), ("d2", "b")], "text_md5 string, processed_text string")
