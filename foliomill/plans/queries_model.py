@@ -58,6 +58,44 @@ def svd_project(spark, sf_dir):
     )
 
 
+_LEADING_SQL = f"""WITH RECURSIVE {tb.VOCABULARY_SQL},
+raw AS (SELECT doc_id, term, (1 + ln(tf::DOUBLE)) * idf AS w FROM doc_terms JOIN vocab USING (term)),
+weights AS MATERIALIZED (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw),
+power AS (
+  SELECT 0 AS step, term, 1 / sqrt(count(*) OVER ()) AS x, 0::DOUBLE AS size FROM vocab
+  UNION ALL
+  SELECT step + 1, term, y / sqrt(sum(y * y) OVER ()), sqrt(sum(y * y) OVER ())
+  FROM (
+    SELECT seen.step, weights.term, sum(weight * seen.along) AS y
+    FROM weights JOIN (
+      SELECT max(step) AS step, doc_id, sum(weight * x) AS along
+      FROM power JOIN weights USING (term) WHERE step < 80 GROUP BY doc_id
+    ) seen USING (doc_id)
+    GROUP BY ALL
+  )
+)
+SELECT doc_id, round(sum(weight * x), 4) + 0.0::DOUBLE AS along, round(sqrt(max(size)), 4) AS singular_value
+FROM weights JOIN power USING (term) WHERE step = 80 GROUP BY doc_id"""
+
+
+@query(_LEADING_SQL)
+def svd_leading(spark, sf_dir):
+    """Every document along the leading direction, and its singular value; SQL finds them by power iteration.
+
+    Documents without a term of the vocabulary are left out. Twelve passes leave an error far
+    below the four decimals.
+    """
+    docs = tb.cleaned(spark, sf_dir)
+    space = TermSpace.collect(vocabulary(with_terms(docs, "processed_text"), "terms"))
+    rows = written(sparse_rows(docs, "processed_text", space).drop("processed_text"), "svd-rows")
+    model = fit_svd(rows, space.size, rows.count(), k=1, passes=12)
+    return project(rows.filter(F.size("indices") > 0), model).select(
+        "doc_id",
+        rounded(F.get("text_features", F.lit(0)), 4).alias("along"),
+        F.lit(round(float(model.singular_values[0]), 4)).alias("singular_value"),
+    )
+
+
 _LABELLED_SQL = f"""
 listed AS (
   SELECT {tb.DOC_PATH_SQL} AS path, d.lang, d.doc_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id
