@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,13 +11,14 @@ from foliomill.functions import paths as ph
 from foliomill.functions.text import clean_replace
 from foliomill.operators import compare as cp
 from foliomill.plans import tables as tb
-from foliomill.plans.registry import query
+from foliomill.plans.registry import ORACLES, query
 from foliomill.plans.update import new_rows
-from foliomill.session import spread
+from foliomill.session import checkpoint_root, spread
 from foliomill.sources import extract as ex
 from foliomill.sources import files as fl
 from foliomill.sources import sinks
 from foliomill.sources import store as st
+from foliomill.sources.snapshots import Snapshot
 
 TARGET = "#top"
 
@@ -173,6 +175,11 @@ def new_files_anti_join(spark, sf_dir):
     return cp.new_files(tb.current_documents(spark, sf_dir), tb.stored_documents(spark, sf_dir)).select("path", "doc_id")
 
 
+def _signed(df):
+    path = ph.normalize(F.col("path"))
+    return df.select(path.alias("path"), fl.signature(path, F.length("text"), F.lit(0)).alias("signature"))
+
+
 @query(
     f"""WITH {tb.VERSIONS_SQL}
     SELECT coalesce(s.path, c.path) AS path,
@@ -181,11 +188,7 @@ def new_files_anti_join(spark, sf_dir):
     FROM stored s FULL JOIN current c ON s.path = c.path"""
 )
 def stale_files(spark, sf_dir):
-    def signed(df):
-        path = ph.normalize(F.col("path"))
-        return df.select(path.alias("path"), fl.signature(path, F.length("text"), F.lit(0)).alias("signature"))
-
-    return cp.file_states(signed(tb.stored_documents(spark, sf_dir)), signed(tb.current_documents(spark, sf_dir)))
+    return cp.file_states(_signed(tb.stored_documents(spark, sf_dir)), _signed(tb.current_documents(spark, sf_dir)))
 
 
 _ROWS_SQL = "SELECT lang, source, md5(text) AS text_md5 FROM"
@@ -234,3 +237,27 @@ def incremental_update(spark, sf_dir):
         "path", clean_replace(F.col("text")).alias("processed_text")
     )
     return cp.append(shown(old, 1), shown(new, 2))
+
+
+def _snapshots(old, new, *key):
+    """Both tables as snapshots in the shared folder."""
+    spark = old.sparkSession
+    root = f"{checkpoint_root(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    return tuple(Snapshot.write(rows, f"{root}/{name}", *key, buckets=64) for name, rows in (("old", old), ("new", new)))
+
+
+@query(f"SELECT * FROM ({ORACLES['stale_files']}) WHERE state <> 'same'")
+def snapshot_states(spark, sf_dir):
+    """What differs between two versions, found by their digests; SQL compares all rows."""
+    old, new = _snapshots(_signed(tb.stored_documents(spark, sf_dir)), _signed(tb.current_documents(spark, sf_dir)), "path")
+    return old.states(new)
+
+
+@query(ORACLES["changed_rows"])
+def snapshot_differences(spark, sf_dir):
+    def shown(df):
+        return df.select("lang", "source", F.md5("text").alias("text_md5"))
+
+    stored, current = shown(tb.stored_documents(spark, sf_dir)), shown(tb.current_documents(spark, sf_dir))
+    old, new = _snapshots(stored, current, "text_md5")
+    return old.differences(new).select("side", "lang", "source", "text_md5", "surplus")
