@@ -48,7 +48,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """Majority bits of the hashes of all ``width``-word shingles, repeats included."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     if not len(hashes):
         return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
@@ -86,6 +90,14 @@ def _choices(bits: list[int], blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(_split(bits, blocks), blocks - radius)]
 
 
+_MASKS = _choices(list(range(64)), 6, RADIUS)
+
+
+def block_keys(fp: int) -> list[int]:
+    """What is left of a fingerprint for each choice of three of six blocks; two within the radius agree on at least one."""
+    return [fp & m for m in _MASKS]
+
+
 def _keys(masks: list[int]) -> Column:
     return F.explode(
         F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for t, m in enumerate(masks)))

@@ -338,3 +338,18 @@ def test_scratch_tables_of_near_dedup_go(spark, make):
     minhash.one_of_each(make([(i, f"a b c d e f{i}", "s") for i in range(9)])).collect()
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(checkpoint_root(spark))) - before}
     assert left == {"chunks", "chunk-list", "minhash-files", "minhash-winners"}  # what the result reads
+
+
+def test_near_dedup_files_texts_by_simhash_blocks(spark, make):
+    """Near copies within three bits meet in a SimHash block, whatever their MinHash bands; strangers don't."""
+    from foliomill.llm.chunks import save_chunks
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 400)) for _ in range(6)]
+    texts += [t + " more" for t in texts]
+    fps = [simhash.majority(np.unique(simhash.shingle_hashes(t, 5))) for t in texts]
+    near = [(i, i + 6) for i in range(6) if (fps[i] ^ fps[i + 6]).bit_count() <= 3]
+    assert near
+    rows = minhash.shingled(save_chunks(make([(i, t, "a") for i, t in enumerate(texts)]))).collect()
+    keys = {r.doc_id: set(r.bands[minhash.BANDS :]) for r in rows}
+    assert all(keys[a] & keys[b] for a, b in near) and not keys[0] & keys[1]
