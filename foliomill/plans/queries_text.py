@@ -14,6 +14,7 @@ from foliomill.operators import terms as tm
 from foliomill.operators.textcache import resolve_texts
 from foliomill.plans import tables as tb
 from foliomill.plans.registry import query
+from foliomill.session import written
 
 
 def _clean_sql(expression: str) -> str:
@@ -118,8 +119,13 @@ def ngrams(spark, sf_dir):
     )
 
 
-def _with_terms(spark, sf_dir):
-    return tm.with_terms(tb.cleaned(spark, sf_dir), "processed_text").select("doc_id", "terms")
+def _cleaned(spark, sf_dir):
+    """Written, as counting reads the documents several times."""
+    return written(tb.cleaned(spark, sf_dir), "cleaned")
+
+
+def _vocabulary(docs):
+    return tm.vocabulary(docs, "processed_text")
 
 
 @query(
@@ -136,14 +142,14 @@ def term_counts(spark, sf_dir):
     SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id, df, cf FROM vocab"""
 )
 def vocabulary(spark, sf_dir):
-    return tm.vocabulary(_with_terms(spark, sf_dir), "terms").select(
+    return _vocabulary(_cleaned(spark, sf_dir)).select(
         "term", F.col("term_id").cast("bigint").alias("term_id"), "df", "cf"
     )
 
 
 @query(f"WITH {tb.VOCABULARY_SQL} SELECT term, round(idf, 6) AS idf FROM vocab")
 def idf_weights(spark, sf_dir):
-    return tm.vocabulary(_with_terms(spark, sf_dir), "terms").select("term", rounded(F.col("idf")).alias("idf"))
+    return _vocabulary(_cleaned(spark, sf_dir)).select("term", rounded(F.col("idf")).alias("idf"))
 
 
 _TFIDF_SQL = f"""{tb.VOCABULARY_SQL},
@@ -155,8 +161,8 @@ weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))
 
 @query(f"WITH {_TFIDF_SQL} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_transform(spark, sf_dir):
-    docs = _with_terms(spark, sf_dir)
-    weights = tm.tfidf(docs, "doc_id", "terms", tm.vocabulary(docs, "terms"))
+    docs = _cleaned(spark, sf_dir)
+    weights = tm.tfidf(docs, "doc_id", "processed_text", _vocabulary(docs))
     return weights.withColumn("weight", rounded(F.col("weight")))
 
 
