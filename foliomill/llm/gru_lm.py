@@ -1,7 +1,8 @@
 """A gated recurrent language model that scores whole documents.
 
-Counts of all training tokens come first: chunks of documents send the hashes and
-counts of their distinct words to parts and get the totals back. The most frequent
+Texts are cut into words once; chunk files hold the hashes of a chunk's distinct words
+and each word's number among them. Counts of all training tokens come first: chunks
+send the hashes and counts of their distinct words to parts and get the totals back. The most frequent
 words are the model's own; any other word is the model's <unk> times its share of
 the rest, so that the model gives every text a probability. The output softmax is
 factored by class (neighbours in frequency). Its biases start at the counts, so an
@@ -12,22 +13,23 @@ window by window with the state carried on, gradients stop at the window. Spark
 tasks train on their segments from the same start, and their weights are averaged,
 for a few rounds; a round takes its share of the segments, so all are trained on
 once. Scoring runs each document from its first to its last token and
-carries the state across windows.
+carries the state across windows; documents follow one another in a number of lanes.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.chunks import WORD_HASHES, load_chunk, save_chunks
-from foliomill.llm.common import lower_words_of
+from foliomill.llm.common import load_arrays, new_folder, pack_arrays, save_file, slices
 from foliomill.session import written
 
 CHUNK_BYTES = 6 << 20
@@ -42,7 +44,8 @@ SHARE = 1  # one in so many segments of the training documents is trained on
 ROUNDS = 3
 TASK_TOKENS = 1 << 20
 TASKS = 1024
-LANES = 512
+LANES = 128
+BLOCK = 2048  # tokens whose class logits are held at a time
 END, UNK = 0, 1
 FILLER = 0xFFFF  # what follows the text's end in a short segment
 
@@ -52,23 +55,63 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the texts' distinct words in order, the number of each word's, and the words
+    of each text (null: none), with A-Z in lower case and all else unchanged."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # just the six characters of WORD
+    every = split.flatten()
+    real = pc.greater(pc.binary_length(every), 0)  # white space at an end leaves an empty word
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    sizes = np.diff(before[ends], prepend=0)
+    numbered = every.filter(real).dictionary_encode()
+    distinct = pc.cast(numbered.dictionary, pa.large_binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    values, inverse = np.unique(hashes, return_inverse=True)
+    return values, inverse.astype(np.uint32)[numbered.indices.to_numpy(zero_copy_only=False)], sizes
+
+
+def save_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Pack rows of about ``chunk_bytes`` of text into files of their words' hashes and numbers; a
+    row per file with its path and words."""
+    folder = new_folder(docs.sparkSession, "chunks")
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            values, numbers, sizes = _words(pa.concat_arrays(table["text"].cast(pa.large_string()).chunks))
+            content = pack_arrays(doc_ids=table["doc_id"].to_pylist(), values=values, numbers=numbers, sizes=sizes.astype("<i8"))
+            path = save_file(folder, "chunk", ".arrows", content)
+            return pa.RecordBatch.from_pydict({"chunk": [path], "n_words": [len(numbers)]})
+
+        for batch in batches:
+            for rows in slices(batch, "text", chunk_bytes // 4):
+                held.append(rows)
+                size += rows["text"].nbytes
+                if size >= chunk_bytes:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return written(docs.mapInArrow(save, "chunk string, n_words long"), "chunk-list")
+
+
 class Chunk:
-    """The word hashes of a chunk's documents, end to end."""
-
-    def __init__(self, table: pa.Table) -> None:
-        self.doc_ids = table["doc_id"].to_pylist()
-        words = [lower_words_of(t) for t in table["text"].to_pylist()]
-        self.sizes = np.array([len(w) for w in words], np.int64)
-        every = map(WORD_HASHES.__getitem__, chain.from_iterable(words))
-        self.hashes = np.fromiter(every, np.uint64, int(self.sizes.sum()))
+    """A chunk's documents: the hashes of its distinct words in order, and the number of each
+    word's, documents end to end."""
+
+    def __init__(self, path: str) -> None:
+        held = load_arrays(path, doc_ids="list", values="<u8", numbers="<u4", sizes="<i8")
+        self.doc_ids, self.values, self.numbers, self.sizes = held["doc_ids"], held["values"], held["numbers"], held["sizes"]
         self.ends = np.cumsum(self.sizes)
         self.held_out = np.array([is_held_out(d) for d in self.doc_ids], bool)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes in order, the number of each word's, and their training counts."""
-        values, inverse = np.unique(self.hashes, return_inverse=True)
-        training = np.repeat(~self.held_out, self.sizes)
-        return values, inverse, np.bincount(inverse[training], minlength=len(values))
+    def training_counts(self) -> np.ndarray:
+        """Of the distinct words, in training documents."""
+        return np.bincount(self.numbers[np.repeat(~self.held_out, self.sizes)], minlength=len(self.values))
 
 
 SENT = "part int, chunk string, hashes binary, counts binary"
@@ -81,8 +124,8 @@ def _counts(chunks: DataFrame, parts: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch["chunk"].to_pylist():
-                chunk = Chunk(load_chunk(path))
-                values, _, counts = chunk.distinct()
+                chunk = Chunk(path)
+                values, counts = chunk.values, chunk.training_counts()
                 rows = [(p, values[r], counts[r]) for p, r in _rows_by_part(values, parts)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -194,162 +237,214 @@ class Vocabulary:
         return [w.astype(np.float32) for w in weights]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+HALVED = np.repeat(np.float32([0.5, 0.5, 1]), STATE)  # a sigmoid is the tanh of half its input, halved and shifted
+
+
+def _inputs(weights: list[np.ndarray], tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings (steps, lanes, EMBEDDING) of (steps, lanes) tokens, and what they add to the gates
+    and new states (steps, 3 * STATE, lanes), the gates' part halved."""
+    emb, wx, b = weights[:3]
+    embedded = emb.take(tokens, axis=0)
+    x = np.matmul((wx * HALVED).T, embedded.transpose(0, 2, 1))
+    x += (b * HALVED)[:, None]
+    return embedded, x
+
+
+def _forward(
+    x: np.ndarray, u: np.ndarray, h: np.ndarray, trace: bool, resets: dict[int, list[int]] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gates with the recurrent part of new states (steps, 3 * STATE, lanes), new states, and the
+    states before, between and after the steps. Lanes come last, so that a gate's values of all
+    lanes lie together. Without a trace the first two hold a single step. ``resets`` are the
+    lanes that begin at a step with a state of zero."""
+    steps, _, lanes = x.shape
+    kept, back = steps if trace else 1, (u * HALVED).T
+    mixed, new = np.empty((kept, 3 * STATE, lanes), np.float32), np.empty((kept, STATE, lanes), np.float32)
+    states = np.empty((steps + 1, STATE, lanes), np.float32)
+    states[0] = h.T
+    for t in range(steps):
+        before, after, own, n = states[t], states[t + 1], mixed[t % kept], new[t % kept]
+        if resets and t in resets:
+            before = before.copy()
+            before[:, resets[t]] = 0
+        np.matmul(back, before, out=own)
+        gates = own[: 2 * STATE]
+        gates += x[t, : 2 * STATE]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(own[2 * STATE :], gates[:STATE], out=n)
+        n += x[t, 2 * STATE :]
+        np.tanh(n, out=n)
+        np.subtract(before, n, out=after)
+        after *= gates[STATE:]
+        after += n
+    return mixed, new, states
+
+
+def _steps(table: np.ndarray, u: np.ndarray, inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """States after each of the (steps, lanes) inputs; ``table`` holds each token's input part."""
+    x = np.ascontiguousarray((table * HALVED)[inputs].transpose(0, 2, 1))
+    return _forward(x, u, h, False)[2][1:].transpose(0, 2, 1)
 
 
-def _steps(table: np.ndarray, u: np.ndarray, inputs: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """States after each of the (steps, lanes) inputs; ``table`` holds each token's input part."""
-    out = np.empty((*inputs.shape, STATE), np.float32)
-    for t, tokens in enumerate(inputs):
-        x, r = table[tokens], h @ u
-        gates = _sigmoid(x[:, : 2 * STATE] + r[:, : 2 * STATE])
-        reset, keep = gates[:, :STATE], gates[:, STATE:]
-        new = np.tanh(x[:, 2 * STATE :] + reset * r[:, 2 * STATE :])
-        if trace is not None:
-            trace.append((h, reset, keep, new, r[:, 2 * STATE :]))
-        h = new + keep * (h - new)
-        out[t] = h
-    return out
+def _rows(states: np.ndarray) -> np.ndarray:
+    """A row for each step and lane of states whose lanes come last."""
+    return states.transpose(0, 2, 1).reshape(-1, STATE)
 
 
-def _states(weights: list[np.ndarray]):
-    """As ``_steps`` without a trace and with fewer passes: gates and new states have contiguous
-    arrays of their own, and a sigmoid is the tanh of the halved input, halved and shifted."""
-    emb, wx, b, u = weights[:4]
-    table = emb @ wx + b
-    to_gates, to_new = np.ascontiguousarray(table[:, : 2 * STATE]) * 0.5, np.ascontiguousarray(table[:, 2 * STATE :])
-    u_gates, u_new = np.ascontiguousarray(u[:, : 2 * STATE]) * 0.5, np.ascontiguousarray(u[:, 2 * STATE :])
-
-    def run(inputs: np.ndarray, h: np.ndarray) -> np.ndarray:
-        out = np.empty((*inputs.shape, STATE), np.float32)
-        for t, tokens in enumerate(inputs):
-            gates = to_gates.take(tokens, axis=0)
-            gates += h @ u_gates
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            new = h @ u_new
-            new *= gates[:, :STATE]
-            new += to_new.take(tokens, axis=0)
-            np.tanh(new, out=new)
-            after = out[t]
-            np.subtract(h, new, out=after)
-            after *= gates[:, STATE:]
-            after += new
-            h = after
-        return out
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order that puts targets by class, their classes and places within these in that order,
+    and each class with the cuts of its targets, so that a class is a slice."""
+    own_class = (targets // CLASS).astype(np.uint16)
+    order = np.argsort(own_class, kind="stable")
+    own_class = own_class[order].astype(np.int64)
+    numbers = np.bincount(own_class)
+    ends = np.cumsum(numbers).tolist()
+    cuts = [(c, ends[c] - k, ends[c]) for c, k in enumerate(numbers.tolist()) if k]
+    return order, own_class, targets[order] % CLASS, cuts
+
 
-    return run
+def _class_logits(weights: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
+    """(classes, tokens) for rows of states."""
+    logits = np.matmul(weights[4].T, flat.T)
+    logits += weights[5][:, None]
+    return logits
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _word_logits(weights: list[np.ndarray], flat: np.ndarray, own_class: np.ndarray, cuts: list[tuple[int, int, int]]) -> np.ndarray:
+    """(tokens, CLASS) for rows of states that lie by class."""
+    words, logits = weights[6].reshape(-1, CLASS, STATE).transpose(0, 2, 1), np.empty((len(flat), CLASS), np.float32)
+    for c, a, b in cuts:
+        np.dot(flat[a:b], words[c], out=logits[a:b])
+    logits += weights[7].reshape(-1, CLASS).take(own_class, axis=0)
+    return logits
 
 
-def _class_rows(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    own = targets // CLASS
-    order = np.argsort(own, kind="stable")
-    numbers, first = np.unique(own[order], return_index=True)
-    return list(zip(numbers.tolist(), np.split(order, first[1:]), strict=True))
+def _exponentials(logits: np.ndarray, at: tuple[np.ndarray, np.ndarray], axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The logits at one output a token, and the sums of exponentials, which replace the logits.
+    A token's outputs lie along ``axis``. Only logits that might leave the range of single
+    precision are shifted: no sum is below the exponential of the token's own output."""
+    own = logits[at]
+    if not (own.min() > -60 and logits.max() < 80):
+        top = logits.max(axis=axis, keepdims=True)
+        logits -= top
+        own = own - top.ravel()
+    np.exp(logits, out=logits)
+    return own, logits.sum(axis=0) if axis == 0 else logits @ np.ones(logits.shape[1], np.float32)
 
 
 def log_probabilities(weights: list[np.ndarray], states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logs, of class and then of word within its class."""
-    _, _, _, _, cw, cb, ww, wb = weights
-
-    def chosen(x: np.ndarray, which: np.ndarray) -> np.ndarray:
-        own = x[np.arange(len(which)), which]
-        top = x.max() if len(x) else 0.0  # one for all rows: their logits are of one size
-        x -= top
-        np.exp(x, out=x)
-        return own - top - np.log(x @ np.ones(x.shape[1], x.dtype))
-
-    out = chosen(states @ cw + cb, targets // CLASS)
-    for c, rows in _class_rows(targets):
-        span = slice(c * CLASS, (c + 1) * CLASS)
-        out[rows] += chosen(states[rows] @ ww[span].T + wb[span], targets[rows] - c * CLASS)
+    order, own_class, place, cuts = _by_class(targets)
+    flat, out = states.take(order, axis=0), np.empty(len(targets), np.float32)
+    if len(targets):
+        own, total = _exponentials(_word_logits(weights, flat, own_class, cuts), (np.arange(len(flat)), place), 1)
+        logp = own - np.log(total)
+        for at in range(0, len(targets), BLOCK):
+            rows = slice(at, at + BLOCK)
+            chosen = own_class[rows]
+            own, total = _exponentials(_class_logits(weights, flat[rows]), (chosen, np.arange(len(chosen))), 0)
+            logp[rows] += own - np.log(total)
+        out[order] = logp
     return out
 
 
-def _output_error(logits: np.ndarray, rows: np.ndarray, chosen: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-    """Loss of the chosen outputs, and the gradient of the loss per token by the logits."""
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[rows, chosen]
-    d = np.exp(logits, out=logits)
-    total = d.sum(axis=1)
+def _output_error(logits: np.ndarray, at: tuple[np.ndarray, np.ndarray], axis: int) -> tuple[float, np.ndarray]:
+    """Loss of the outputs at one place a token, and the gradient of the loss per token by the logits."""
+    n = len(at[0])
+    own, total = _exponentials(logits, at, axis)
     loss = float((np.log(total) - own).sum())
-    d *= (1 / (total * n))[:, None].astype(np.float32)
-    d[rows, chosen] -= np.float32(1 / n)
-    return loss, d
+    logits *= np.expand_dims(1 / (total * np.float32(n)), axis)
+    logits[at] -= np.float32(1 / n)
+    return loss, logits
 
 
 def gradients(
-    weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray, real: np.ndarray | None = None
+    weights: list[np.ndarray], tokens: np.ndarray, h: np.ndarray, real: np.ndarray | None = None, out: list[np.ndarray] | None = None
 ) -> tuple[float, list[np.ndarray], np.ndarray]:
     """Loss per token, gradients and last state over one window of (steps + 1, lanes) tokens.
-    Only targets where ``real`` (steps, lanes) holds count, all without it."""
-    emb, wx, b, u, cw, cb, ww, wb = weights
-    inputs, targets = tokens[:-1], tokens[1:].ravel().astype(np.int64)
-    trace: list = []
-    states = _steps(emb @ wx + b, u, inputs, h, trace)
+    Only targets where ``real`` (steps, lanes) holds count, all without it. Gradients are put
+    into ``out``, if given, which holds zeros."""
+    emb, wx, _, u, cw, _, ww, _ = weights
+    inputs, targets = tokens[:-1], tokens[1:].ravel()
+    steps, lanes = inputs.shape
+    embedded, x = _inputs(weights, inputs)
+    mixed, new, states = _forward(x, u, h, True)
+    grads = [np.zeros_like(w) for w in weights] if out is None else out
     counted = np.arange(len(targets)) if real is None else np.flatnonzero(real)
-    targets, n = targets[counted], len(counted)
-    grads = [np.zeros_like(w) for w in weights]
-    # rows lie by class, so that a class is a slice
-    own_class = targets // CLASS
-    by_class = np.argsort(own_class, kind="stable")
-    classes, first = np.unique(own_class[by_class], return_index=True)
-    counted = counted[by_class]
-    flat, place, own_class = states.reshape(-1, STATE)[counted], targets[by_class] % CLASS, own_class[by_class]
-    rows = np.arange(n)
-    loss, d = _output_error(flat @ cw + cb, rows, own_class, n)
-    grads[4], grads[5] = flat.T @ d, d.sum(axis=0)
-    dflat = d @ cw.T
-    logits = np.empty((n, CLASS), np.float32)
-    cuts = [*first.tolist(), n]
-    parts = [(slice(c * CLASS, (c + 1) * CLASS), slice(a, b)) for c, a, b in zip(classes.tolist(), cuts, cuts[1:], strict=False)]
-    for span, own in parts:
-        np.matmul(flat[own], ww[span].T, out=logits[own])
-    logits += wb.reshape(-1, CLASS)[own_class]
-    more, d = _output_error(logits, rows, place, n)
+    order, own_class, place, cuts = _by_class(targets[counted])
+    counted, n, each = counted[order], len(counted), np.arange(len(counted))
+    flat = _rows(states[1:]).take(counted, axis=0)
+    loss, d = _output_error(_class_logits(weights, flat), (own_class, each), 0)
+    grads[4][...], grads[5][...] = flat.T @ d.T, d.sum(axis=1)
+    dflat = d.T @ cw.T
+    more, d = _output_error(_word_logits(weights, flat, own_class, cuts), (each, place), 1)
     loss += more
-    for span, own in parts:
-        np.matmul(d[own].T, flat[own], out=grads[6][span])
-        dflat[own] += d[own] @ ww[span]
-    grads[7].reshape(-1, CLASS)[classes] = np.add.reduceat(d, first, axis=0)
-    dstates = np.zeros_like(states)
-    dstates.reshape(-1, STATE)[counted] = dflat
-    before, reset, keep, new, recurrent = (np.stack(x) for x in zip(*trace, strict=True))
+    words, by_word, from_words = ww.reshape(-1, CLASS, STATE), grads[6].reshape(-1, CLASS, STATE), np.empty_like(flat)
+    for c, a, b in cuts:
+        own = d[a:b]
+        np.dot(own.T, flat[a:b], out=by_word[c])
+        np.dot(own, words[c], out=from_words[a:b])
+    dflat += from_words
+    grads[7].reshape(-1, CLASS)[[c for c, _, _ in cuts]] = np.add.reduceat(d, [a for _, a, _ in cuts], axis=0)
+    rows = np.zeros((steps * lanes, STATE), np.float32)
+    rows[counted] = dflat
+    dstates = np.ascontiguousarray(rows.reshape(steps, lanes, STATE).transpose(0, 2, 1))
+    reset, keep, recurrent, before = mixed[:, :STATE], mixed[:, STATE : 2 * STATE], mixed[:, 2 * STATE :], states[:-1]
     # what multiplies the state's gradient, for all steps at once
-    to_new = (1 - keep) * (1 - new * new)
-    to_keep = (before - new) * keep * (1 - keep)
-    to_reset = to_new * recurrent * reset * (1 - reset)
-    factors = np.concatenate([to_reset, to_keep, to_new * reset], axis=2)
-    dr, dstate, back = np.empty_like(factors), np.empty_like(states), np.ascontiguousarray(u.T)
-    dh = np.zeros_like(h)
-    for t in range(len(inputs) - 1, -1, -1):
-        dh = np.add(dh, dstates[t], out=dstate[t])
-        np.multiply(factors[t].reshape(-1, 3, STATE), dh[:, None, :], out=dr[t].reshape(-1, 3, STATE))
-        dh = dh * keep[t] + dr[t] @ back
-    grads[3] = before.reshape(-1, STATE).T @ dr.reshape(-1, 3 * STATE)
-    dr[:, :, 2 * STATE :] = to_new * dstate  # the input part of a new state isn't reset
-    dx = dr.reshape(-1, 3 * STATE)
-    grads[2] = dx.sum(axis=0)
-    # the input part is a row of emb @ wx, so sum by token first
-    order = np.argsort(inputs, axis=None, kind="stable")
-    seen, first = np.unique(inputs.ravel()[order], return_index=True)
-    by_token = np.add.reduceat(dx[order], first, axis=0)
-    grads[1] = emb[seen].T @ by_token
-    grads[0][seen] = by_token @ wx.T
-    return loss / n, grads, states[-1]
+    factors, rest = x, 1 - keep  # the inputs' part isn't needed any more
+    to_reset, to_keep, to_recurrent = factors[:, :STATE], factors[:, STATE : 2 * STATE], factors[:, 2 * STATE :]
+    to_new = new * new
+    np.subtract(1, to_new, out=to_new)
+    to_new *= rest
+    np.multiply(to_new, reset, out=to_recurrent)
+    np.subtract(states[1:], new, out=to_keep)  # is keep * (before - new)
+    to_keep *= rest
+    np.subtract(1, reset, out=to_reset)
+    to_reset *= recurrent
+    to_reset *= to_recurrent
+    dh = np.zeros((STATE, lanes), np.float32)
+    for t in range(steps - 1, -1, -1):
+        dh = np.add(dh, dstates[t], out=dstates[t])
+        by_part = factors[t].reshape(3, STATE, lanes)
+        by_part *= dh
+        dh = dh * keep[t]
+        dh += u @ factors[t]
+    by_lane = factors.transpose(0, 2, 1)
+    grads[3][...] = np.matmul(before, by_lane).sum(axis=0)
+    np.multiply(to_new, dstates, out=to_recurrent)  # the input part of a new state isn't reset
+    grads[2][...] = factors.sum(axis=0).sum(axis=1)
+    grads[1][...] = np.matmul(embedded.transpose(0, 2, 1), by_lane).sum(axis=0)
+    by_input, ids = np.matmul(by_lane, wx.T).reshape(-1, EMBEDDING), inputs.ravel()
+    order, numbers = np.argsort(ids.astype(np.uint16), kind="stable"), np.bincount(ids)
+    seen = np.flatnonzero(numbers)
+    first = np.cumsum(numbers[seen]) - numbers[seen]
+    grads[0][seen] = np.add.reduceat(by_input.take(order, axis=0), first, axis=0)
+    return loss / n, grads, states[-1].T
+
+
+def _views(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays shaped as ``like`` that lie in ``flat`` one after another."""
+    out, at = [], 0
+    for w in like:
+        out.append(flat[at : at + w.size].reshape(w.shape))
+        at += w.size
+    return out
+
+
+def _keep_freed_memory() -> None:
+    """After a large array is freed, the C library keeps smaller ones that are freed, which
+    otherwise go back to the system and come again page by page in every window."""
+    np.empty((32 << 20) - 8192, np.uint8)
 
 
 def train_locally(weights: list[np.ndarray], segments: np.ndarray, rate: float, lanes: int = 64) -> list[np.ndarray]:
     """One pass of Adam over segments (rows of SEGMENT + 1 tokens), the state carried window by window."""
-    weights = [w.copy() for w in weights]
-    m, v, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
+    _keep_freed_memory()
+    flat = np.concatenate([w.ravel() for w in weights])
+    m, v, grad, change, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.empty_like(flat), 0
+    weights, grads = _views(flat, weights), _views(grad, weights)
     for at in range(0, len(segments), lanes):
         batch = segments[at : at + lanes].T.astype(np.int64)
         lengths = (batch != FILLER).sum(axis=0) - 1
@@ -361,14 +456,23 @@ def train_locally(weights: list[np.ndarray], segments: np.ndarray, rate: float,
         for w0 in range(0, int(lengths[0]), WINDOW):
             live = int((lengths > w0).sum())  # the longest come first
             window = slice(w0, w0 + WINDOW + 1)
-            _, grads, h = gradients(weights, batch[window, :live], h[:live], real[window, :live][1:])
-            norm = float(np.sqrt(sum(float((g * g).sum()) for g in grads)))
-            scale, step = min(1.0, 1.0 / (norm + 1e-9)), step + 1
-            for i, g in enumerate(grads):
-                g = g * scale
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.99 * v[i] + 0.01 * g * g
-                weights[i] -= (rate / (1 - 0.9**step) * m[i] / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            grad.fill(0)
+            _, _, h = gradients(weights, batch[window, :live], h[:live], real[window, :live][1:], grads)
+            norm, step = float(np.sqrt(grad @ grad)), step + 1
+            if norm > 1:
+                grad /= norm
+            # sums of the gradients and of their squares, a tenth and a hundredth of which are the averages
+            m *= 0.9
+            m += grad
+            v *= 0.99
+            grad *= grad
+            v += grad
+            root = ((1 - 0.99**step) / 0.01) ** 0.5  # both start at zero, which the powers make good
+            np.sqrt(v, out=change)
+            change += 1e-6 * root
+            np.divide(m, change, out=change)
+            change *= 0.1 * rate * root / (1 - 0.9**step)
+            flat -= change
     return weights
 
 
@@ -379,24 +483,25 @@ def _segments(chunks: DataFrame, vocabulary, share: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch["chunk"].to_pylist():
-                table, keys, out = load_chunk(path), [], []
-                for row, (doc_id, text) in enumerate(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)):
-                    if is_held_out(doc_id):
+                chunk, keys, starts, lengths = Chunk(path), [], [], []
+                tokens = vocabulary.value.numbers(chunk.values)[chunk.numbers]
+                # what lies before a text and after it is an end
+                stream = np.full(len(tokens) + 2 * len(chunk.sizes), END, "<u2")
+                stream[np.arange(len(tokens)) + np.repeat(2 * np.arange(len(chunk.sizes)) + 1, chunk.sizes)] = tokens
+                for row, (doc_id, size, end) in enumerate(zip(chunk.doc_ids, chunk.sizes.tolist(), chunk.ends.tolist(), strict=True)):
+                    if chunk.held_out[row]:
                         continue
-                    words = lower_words_of(text)
-                    for at in range(0, len(words) + 1, SEGMENT):
+                    for at in range(0, size + 1, SEGMENT):
                         key = zlib.crc32(f"{doc_id} {row} {at}".encode())
-                        if key % share:
-                            continue
-                        own = words[max(at - 1, 0) : at + SEGMENT]
-                        numbers = vocabulary.value.numbers(np.array([WORD_HASHES[w] for w in own], np.uint64))
-                        # what lies before the text and after it is an end; filler takes up the rest of a short segment
-                        ids = np.full(SEGMENT + 2, FILLER, "<u2")
-                        ids[0] = ids[len(own) + (at == 0)] = END
-                        ids[at == 0 : len(own) + (at == 0)] = numbers
-                        ids = ids[: SEGMENT + 1]
-                        out.append(ids.tobytes())
-                        keys.append(key)
+                        if key % share == 0:
+                            keys.append(key)
+                            starts.append(end - size + 2 * row + at)
+                            lengths.append(size + 2 - at)
+                # filler takes up the rest of a short segment
+                place = np.arange(SEGMENT + 1)
+                rows = np.minimum(np.array(starts, np.int64)[:, None] + place, len(stream) - 1)
+                ids = np.where(place < np.array(lengths, np.int64)[:, None], stream[rows], np.uint16(FILLER)).astype("<u2")
+                out = [i.tobytes() for i in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "ids"])
 
     spread = chunks.select("chunk").repartition(max(1, min(chunks.count(), 100_000)), "chunk")
@@ -408,11 +513,7 @@ def _packed(weights: list[np.ndarray]) -> bytes:
 
 
 def _unpacked(content: bytes, like: list[np.ndarray]) -> list[np.ndarray]:
-    flat, out, at = np.frombuffer(content, "<f4"), [], 0
-    for w in like:
-        out.append(flat[at : at + w.size].reshape(w.shape).copy())
-        at += w.size
-    return out
+    return _views(np.frombuffer(content, "<f4").copy(), like)
 
 
 def train(segments: DataFrame, weights: list[np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
@@ -453,27 +554,48 @@ def train(segments: DataFrame, weights: list[np.ndarray], rounds: int = ROUNDS)
     return weights
 
 
+def _dealt(sizes: np.ndarray, lanes: int) -> list[list[int]]:
+    """Documents with tokens by lane, the longest lane first: each, from the longest on, goes to
+    the lane with the fewest tokens."""
+    held = [(0, lane) for lane in range(lanes)]
+    dealt: list[list[int]] = [[] for _ in range(lanes)]
+    for i in np.argsort(-sizes, kind="stable").tolist():
+        if sizes[i]:
+            size, lane = held[0]
+            dealt[lane].append(i)
+            heapq.heapreplace(held, (size + int(sizes[i]), lane))
+    return [dealt[lane] for _, lane in sorted(held, key=lambda x: -x[0])]
+
+
 def document_scores(weights: list[np.ndarray], documents: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural log probability of each document (numbers with the end), run window by window
-    from a zero state and an end before the first token."""
-    run, out = _states(weights), np.zeros(len(documents))
-    order = np.argsort([-len(d) for d in documents], kind="stable")
-    for first in range(0, len(order), lanes):
-        rows = order[first : first + lanes]
-        lengths = np.array([len(documents[i]) for i in rows])
-        tokens = np.full((int(lengths[0]) + 1, len(rows)), END, np.uint16)
-        for k, i in enumerate(rows):
-            tokens[1 : lengths[k] + 1, k] = documents[i]
-        h = np.zeros((len(rows), STATE), np.float32)
-        for at in range(0, int(lengths[0]), WINDOW):
-            live = int((lengths > at).sum())  # the longest come first
-            part = tokens[at : at + WINDOW + 1, :live]
-            states = run(part[:-1], h[:live])
-            h = states[-1]
-            real = np.arange(at, at + len(part) - 1)[:, None] < lengths[None, :live]
-            lane = np.broadcast_to(np.arange(live), real.shape)[real]
-            logp = log_probabilities(weights, states[real], part[1:][real].astype(np.int64))
-            out[rows[:live]] += np.bincount(lane, logp.astype(np.float64), live)
+    from a zero state and an end before the first token. A lane runs one document after another,
+    so that all stay busy; more lanes than the longest document leaves tokens for aren't taken."""
+    _keep_freed_memory()
+    out, sizes = np.zeros(len(documents)), np.array([len(d) for d in documents], np.int64)
+    if not sizes.sum():
+        return out
+    dealt = _dealt(sizes, min(lanes, -(-int(sizes.sum()) // int(sizes.max()))))
+    lengths = np.array([sizes[own].sum() for own in dealt])
+    inputs, targets = (np.full((int(lengths[0]), len(dealt)), END, np.uint16) for _ in range(2))
+    owner, starts = np.zeros(inputs.shape, np.int32), {}
+    for lane, own in enumerate(dealt):
+        at = 0
+        for i in own:
+            end = at + len(documents[i])
+            inputs[at + 1 : end, lane], targets[at:end, lane], owner[at:end, lane] = documents[i][:-1], documents[i], i
+            starts.setdefault(at, []).append(lane)
+            at = end
+    h = np.zeros((len(dealt), STATE), np.float32)
+    for at in range(0, len(inputs), WINDOW):
+        live = int((lengths > at).sum())  # the longest come first
+        part = slice(at, at + WINDOW)
+        resets = {t - at: starts[t] for t in range(at, at + WINDOW) if t in starts}
+        states = _forward(_inputs(weights, inputs[part, :live])[1], weights[3], h[:live], False, resets)[2]
+        h = states[-1].T
+        real = np.flatnonzero(np.arange(at, at + len(states) - 1)[:, None] < lengths[:live])
+        logp = log_probabilities(weights, _rows(states[1:]).take(real, axis=0), targets[part, :live].ravel()[real])
+        out += np.bincount(owner[part, :live].ravel()[real], logp.astype(np.float64), len(out))
     return out
 
 
@@ -504,8 +626,8 @@ def score(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> DataFram
     trained = spark.sparkContext.broadcast(weights)  # its size is set by HEAD and STATE
 
     def finish(table: pa.Table) -> pa.Table:
-        chunk, known = Chunk(load_chunk(table["chunk"][0].as_py())), vocabulary.value
-        values, inverse, _ = chunk.distinct()
+        chunk, known = Chunk(table["chunk"][0].as_py()), vocabulary.value
+        values, inverse = chunk.values, chunk.numbers
         answers = {p: c for p, c in zip(table["part"].to_pylist(), table["counts"].to_pylist(), strict=True) if c is not None}
         count = np.zeros(len(values))
         for p, rows in _rows_by_part(values, parts):
@@ -537,4 +659,5 @@ def score(docs: DataFrame, share: int = SHARE, rounds: int = ROUNDS) -> DataFram
 
     answers = counts.filter("chunk not in ('sums', 'top')").select("part", "chunk", "counts")
     every = chunks.select(F.lit(-1).alias("part"), "chunk", F.lit(None).cast("binary").alias("counts"))
-    return answers.unionByName(every).groupBy("chunk").applyInArrow(finish, RESULT)
+    both = answers.unionByName(every).repartition(max(1, min(chunks.count(), 100_000)), "chunk")  # small rows, long work
+    return both.groupBy("chunk").applyInArrow(finish, RESULT)

@@ -353,3 +353,81 @@ def test_near_dedup_files_texts_by_simhash_blocks(spark, make):
     rows = minhash.shingled(save_chunks(make([(i, t, "a") for i, t in enumerate(texts)]))).collect()
     keys = {r.doc_id: set(r.bands[minhash.BANDS :]) for r in rows}
     assert all(keys[a] & keys[b] for a, b in near) and not keys[0] & keys[1]
+
+
+def test_language_model_cuts_texts_into_words_once(make, odd):
+    """Chunk files hold hashes and numbers of words, so later steps read no texts."""
+    texts = ["A b\x0bÀ\x0cÉ a", "  x\x1cy\x85z\u00a0w\u2003 \t", None, "", " ", "\rB\n\n", "İ ſ K ＡＺ", "x\x00y \x00"]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "a " * 3000, "s")]
+    for docs in (make(rows).select("doc_id", "text").coalesce(1), odd.select("doc_id", "text")):
+        want = [(str(r.doc_id), [xxhash.xxh64_intdigest(w) for w in lower(r.text)]) for r in docs.collect()]
+        got = []
+        for size in (100, 1 << 20):
+            got.append([])
+            for r in gru_lm.save_chunks(docs, size).collect():
+                chunk = gru_lm.Chunk(r.chunk)
+                assert r.n_words == len(chunk.numbers) and (np.diff(chunk.values.astype(object)) > 0).all()
+                hashes = chunk.values[chunk.numbers].tolist()
+                ends = chunk.ends.tolist()
+                got[-1] += [(str(d), hashes[e - s : e]) for d, s, e in zip(chunk.doc_ids, chunk.sizes.tolist(), ends, strict=True)]
+        assert sorted(got[0]) == sorted(got[1]) == sorted(want)
+
+
+def test_training_is_adam_over_windows():
+    """Weights, gradients and both averages lie in one array each; steps are those of plain Adam."""
+    _, weights = small_model()
+    rng = np.random.default_rng(6)
+    segments = rng.integers(0, 62, (5, gru_lm.SEGMENT + 1)).astype("<u2")
+    segments[1, 40:], segments[3, 3:] = gru_lm.FILLER, gru_lm.FILLER
+    want, m, v, step = [w.astype(float) for w in weights], [0] * 8, [0] * 8, 0
+    for at in (0, 2, 4):
+        batch = segments[at : at + 2].T.astype(int)
+        batch = batch[:, np.argsort([(c == gru_lm.FILLER).sum() for c in batch.T], kind="stable")]
+        h = np.zeros((batch.shape[1], gru_lm.STATE), np.float32)
+        for w0 in range(0, gru_lm.SEGMENT, gru_lm.WINDOW):
+            own = batch[w0 : w0 + gru_lm.WINDOW + 1]
+            own = own[:, own[1] != gru_lm.FILLER]
+            real = own != gru_lm.FILLER
+            _, grads, h = gru_lm.gradients([w.astype(np.float32) for w in want], own * real, h[: own.shape[1]], real[1:])
+            norm, step = math.sqrt(sum(float((g * g).sum()) for g in grads)), step + 1
+            for i, g in enumerate(grads):
+                g = g.astype(float) * min(1, 1 / norm)
+                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.99 * v[i] + 0.01 * g * g
+                want[i] -= 0.01 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.99**step)) + 1e-6)
+    before = [w.copy() for w in weights]
+    for got, w, old in zip(gru_lm.train_locally(weights, segments, 0.01, lanes=2), want, before, strict=True):
+        assert got == pytest.approx(w, abs=2e-3) and got.dtype == np.float32
+        assert np.abs(got - old).max() > 0.01
+    assert all((a == b).all() for a, b in zip(weights, before, strict=True))
+
+
+def test_probabilities_of_far_logits_are_finite():
+    """Exponentials that single precision can't hold are shifted; others give the same without."""
+    for scale in (0.1, 300.0):
+        _, weights = small_model()
+        weights[4], weights[7] = weights[4] + np.linspace(-scale, scale, weights[4].size, dtype=np.float32).reshape(weights[4].shape), weights[7] * scale
+        h = np.random.default_rng(8).uniform(-1, 1, (400, gru_lm.STATE)).astype(np.float32)
+        targets = np.random.default_rng(9).integers(0, 62, 400)
+        by_class, by_word = (h @ weights[4] + weights[5]).astype(float), (h @ weights[6].T + weights[7]).astype(float)
+        want = []
+        for c, w, t in zip(by_class, by_word, targets.tolist(), strict=True):
+            w = w[t // gru_lm.CLASS * gru_lm.CLASS :][: gru_lm.CLASS]
+            logs = [x - x.max() - math.log(np.exp(x - x.max()).sum()) for x in (c, w)]
+            want.append(logs[0][t // gru_lm.CLASS] + logs[1][t % gru_lm.CLASS])
+        assert gru_lm.log_probabilities(weights, h, targets) == pytest.approx(want, rel=1e-4, abs=1e-3)
+        loss, _, _ = gru_lm.gradients(weights, np.vstack([np.zeros((1, 400), int), targets[None]]), h)
+        assert math.isfinite(loss)
+
+
+def test_lanes_run_documents_one_after_another():
+    """Every document is in one lane, and no lane is much longer than the others or than it must be."""
+    sizes = np.array([900, *range(1, 200), 0, 0])
+    dealt = gru_lm._dealt(sizes, 20)
+    assert sorted(i for own in dealt for i in own) == list(range(200))
+    tokens = [int(sizes[own].sum()) for own in dealt]
+    assert tokens == sorted(tokens, reverse=True) and tokens[1] - tokens[-1] <= 30 and tokens[0] <= max(900, tokens[-1] + 200)
+    _, weights = small_model()
+    documents = [np.random.default_rng(n).integers(0, 62, n).astype(np.uint16) for n in (70, 5, 1, 33, 32, 0, 64, 2)]
+    alone = [gru_lm.document_scores(weights, [d])[0] for d in documents]
+    for lanes in (1, 2, 3, 64):
+        assert gru_lm.document_scores(weights, documents, lanes) == pytest.approx(alone, rel=1e-5, abs=1e-5)
