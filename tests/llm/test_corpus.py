@@ -431,3 +431,45 @@ def test_lanes_run_documents_one_after_another():
     alone = [gru_lm.document_scores(weights, [d])[0] for d in documents]
     for lanes in (1, 2, 3, 64):
         assert gru_lm.document_scores(weights, documents, lanes) == pytest.approx(alone, rel=1e-5, abs=1e-5)
+
+
+def test_near_dedup_finds_pairs_that_share_no_band_or_block(make):
+    """Pairs of 40 common shingles of 50, picked from 6000 for having no MinHash band and no SimHash block in common."""
+    rows = []
+    for g in (270, 528, 952, 1185, 1627, 1628, 1777, 3021, 3038, 3931, 4862, 5578):
+        base = [f"g{g}w{k}" for k in range(49)]
+        for c, text in enumerate((base, [*base[:24], f"g{g}x", *base[25:]])):
+            rows.append((2 * g + c, " ".join(text), "a"))
+        keys = [np.unique(simhash.shingle_hashes(t, 5)) for _, t, _ in rows[-2:]]
+        keys = [{*minhash.bands(x).tolist(), *minhash.simhash_keys(x).tolist()} for x in keys]
+        assert not keys[0] & keys[1]
+    kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](None, make(rows), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, _, _ in rows if d % 2 == 0)
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_rare_keys_equal_brute_force(make, similarity, monkeypatch):
+    """Every similar pair shares a key; documents with shingles of their own have none."""
+    from foliomill.llm.chunks import save_chunks
+
+    rng = np.random.default_rng(11)
+    passages = [[f"p{p}w{k}" for k in range(30)] for p in range(4)]
+    texts = []
+    for i in range(80):
+        words_ = sum((passages[p] for p in rng.choice(4, rng.integers(0, 4), replace=False)), []) + [f"r{k}" for k in rng.integers(0, 3, rng.integers(0, 9))]
+        texts.append(" ".join(words_))
+    texts += [" ".join(f"own{i}w{k}" for k in range(40)) for i in range(3)]
+    monkeypatch.setattr(minhash, "CHUNKS_PER_TASK", 2)
+    chunks = save_chunks(make([(i, t, "a") for i, t in enumerate(texts)]).repartition(3), 2000)
+    rows = minhash.shingled(chunks).dropDuplicates(["fp"]).filter("fp <> 0").cache()
+    sets = {r.fp: set(np.unique(simhash.shingle_hashes(texts[r.doc_id], 5)).tolist()) for r in rows.collect()}
+    keys = collections.defaultdict(set)
+    for r in minhash.rare_keys(rows, minhash._files(chunks), 5, similarity).collect():
+        keys[r.fp].add(r.key & (1 << 64) - 1)
+    rows.unpersist()
+    held = collections.Counter(h for s in sets.values() for h in s)
+    for fp, s in sets.items():
+        assert len(keys[fp]) <= minhash.first_shingles(len(s), similarity) and all(h in s and held[h] > 1 for h in keys[fp])
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    assert all(keys[a] & keys[b] for a, b in near) and (near or similarity == 1)
+    assert not any(keys[r] for r, s in sets.items() if all(held[h] == 1 for h in s))
