@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs
-from pyspark.sql import SparkSession
 
-from foliomill.session import checkpoint_root
+from foliomill.session import load_file, new_folder, save_file  # noqa: F401  operators take them from here
 
 #: Fixed value: words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,40 +40,6 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> Iterato
         yield batch.slice(start)
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder of the cluster."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _located(path: str) -> tuple[fs.FileSystem, str]:
-    if re.match(r"file:/", path):
-        path = re.sub(r"^file:/+", "/", path)
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
-def save_file(folder: str, stem: str, suffix: str, content: bytes) -> str:
-    """Write one file under a name of its own and return its path.
-
-    The name is unique and the file appears under it only when complete, so a
-    repeated or speculative task never touches what another attempt wrote.
-    """
-    path = f"{folder}/{stem}-{uuid.uuid4().hex}{suffix}"
-    system, place = _located(path)
-    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(place + ".part", compression=None) as out:
-        out.write(content)
-    system.move(place + ".part", place)
-    return path
-
-
-def load_file(path: str) -> bytes:
-    system, place = _located(path)
-    with system.open_input_stream(place, compression=None) as source:
-        return source.read()
-
-
 def pack_arrays(**arrays: np.ndarray | list) -> bytes:
     """Arrays and lists of numbers (which may hold None) as one compressed stream."""
     columns = {k: pa.array([v], pa.list_(pa.int64())) if isinstance(v, list) else pa.array([v.tobytes()], pa.large_binary()) for k, v in arrays.items()}

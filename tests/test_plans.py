@@ -549,3 +549,24 @@ def test_command_line_trains_from_an_inventory_with_derived_lemmas(spark, tmp_pa
     write_files(root, {"Manual": 1}, start=70)
     cli.main(["compact", "--store", str(tmp_path / "s")])
     assert store.latest().count() == 20
+
+
+def test_rows_and_vectors_go_before_the_forest_is_fitted(spark, world, monkeypatch):
+    from urllib.parse import urlparse
+
+    from foliomill.plans import model
+    from foliomill.session import checkpoint_root
+
+    folder = urlparse(checkpoint_root(spark)).path
+    before, seen = set(os.listdir(folder)), []
+    forest = model.RandomForestClassifier
+    monkeypatch.setattr(model, "RandomForestClassifier", lambda **how: seen.append(set(os.listdir(folder)) - before) or forest(**how))
+    train.train(world["rows"], SETTINGS)
+    assert {n.rsplit("-", 1)[0] for n in seen[0]} == {"train-split", "fit-docs", "fit-balanced", "knn-points"}
+
+
+def test_scoring_sends_no_raw_text_to_the_lemmas(spark):
+    docs = spark.createDataFrame([("a", "The pumps and boxes")], "path string, raw_text string")
+    lemmas = spark.createDataFrame([("pumps", "pump")], "form string, lemma string")
+    ready = prepare(docs, SETTINGS, lemmas, keep_raw=False)
+    assert ready.columns == ["path", "processed_text"] and ready.first()["processed_text"] == "pump boxes"
