@@ -36,7 +36,7 @@ def score_files(
 
 def finish(extracted: DataFrame, model: DocumentModel, root: str, threshold: float | None, *kept: str) -> DataFrame:
     """Score extracted files; ``kept`` names further columns to carry along."""
-    scored = model.score(prepare(extracted, model.settings, model.lemmas))
+    scored = model.score(prepare(extracted, model.settings, model.lemmas, keep_raw=False))
     return flag_for_review(
         scored.select(*path_columns(F.col("path"), root), "document_type", "confidence", *kept), threshold
     )

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.functions import layout
 from foliomill.functions import text as tx
 
 # (text, cleaned with tokens for numbers, cleaned with numbers deleted)
@@ -82,3 +83,20 @@ def test_terms_are_unigrams_then_bigrams_of_long_tokens(spark):
 
 def test_text_hash_is_md5_of_utf8(spark):
     assert spark.range(1).select(tx.text_hash(F.lit("naïve")).alias("h")).first().h == hashlib.md5("naïve".encode()).hexdigest()
+
+
+def test_cheap_looks_for_fixed_strings_change_nothing(spark):
+    """Patterns that need a hyphen, a standard's name or a tag are skipped where there is none."""
+    texts = [
+        None, "", "plain", "12-34 a", "a 12-34", "-", "x-1-2", "ISO 9001 and 7-8", "IS page 3 O 9", "DIN", "IEC 61", "din 5", "a < b", "<p>x</p>",
+        "<div >a<br/>b", "PART page 1 2-3 ISO 4", "xISO 3", "ISO\u00a09", "1 page 2-3", "<", "a>b", "section iv-2 DIN 1-2", "page 1-2", "ISO page 5 6", "\u0130SO 1",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = F.coalesce("t", F.lit(""))
+    for pattern, put in ((r"(?iu)" + tx._whole(tx.PAGE_OR_SECTION, "ps"), ""), (tx._whole(tx.PART_NUMBER, tx.DIGIT), "PARTNUM"), (tx._whole(tx.STANDARD, "ID"), "STANDARD"), (tx.NOT_LETTER_OR_SPACE, "")):
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(put))
+    size, count = F.length("t").cast("double"), lambda x: F.regexp_count("t", F.lit(x)).cast("double")
+    plain = F.array(count(layout.TAG) / size, count(layout.BLOCK_OPEN), F.length(F.regexp_replace("t", F.lit(layout.TAG), F.lit(""))) / size, size)
+    plain = F.when(F.coalesce(F.length("t"), F.lit(0)) > 0, plain).otherwise(F.array(*[F.lit(0.0)] * 4))
+    for r in df.select("t", F.lower(out).alias("want"), tx.clean_replace(F.col("t")).alias("got"), plain.alias("a"), layout.layout_features(F.col("t")).alias("b")).collect():
+        assert r.want == r.got and r.a == r.b, r
