@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import text_hash
-from foliomill.operators.terms import TermLimits, corpus_counts, kept_terms, with_terms
+from foliomill.operators.terms import TermLimits, corpus_counts, kept_terms, weighted_counts, with_terms
 from foliomill.session import discard, written
 from foliomill.sources.store import read_or_empty
 
@@ -89,11 +89,8 @@ class TermCounts:
         return read
 
     def _signed(self, rows: DataFrame) -> DataFrame:
-        """Counts of rows (processed_text, n), each taken n times: for every distinct n one aggregation's worth of
-        terms, scaled and added up."""
-        with_weight = with_terms(rows.select("processed_text", "n"), "processed_text")
-        each = corpus_counts(with_weight, "terms", "n")
-        return each.groupBy("term").agg(F.sum(F.col("df") * F.col("n")).alias("df"), F.sum(F.col("cf") * F.col("n")).alias("cf"))
+        """Counts of rows (processed_text, n), each taken n times."""
+        return weighted_counts(with_terms(rows.select("processed_text", "n"), "processed_text"), "terms", "n")
 
     def _anew(self, now: DataFrame, counts: DataFrame) -> int:
         """Replace all versions by one: the difference takes everything back that was there."""
